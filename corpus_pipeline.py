@@ -1,15 +1,65 @@
-"""A training-corpus pipeline over ``documents``; counted as part of subpackage llm."""
+"""A training-corpus pipeline over ``documents``; counted as part of subpackage llm.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegauge.llm import quality
+from tidegauge.llm.common import free_name, table
+from tidegauge.llm.decontamination import contamination
+from tidegauge.llm.lines import dedup_lines
+from tidegauge.llm.minhash import near_duplicates
+from tidegauge.llm.mixing import mix
+
+
+def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.grade(docs, model).where("accepted").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat earlier ones go, and documents of which nothing is left.
+    ``n_chars`` follows the text."""
+    n = free_name(docs, "n_removed")
+    out = dedup_lines(docs).where(f"`{n}` = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    size = F.when(F.col(n) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", size).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates the document of smallest id stays."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def free_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return contamination(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, mixed to target weights along the curriculum."""
+    return mix(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", accept),
+    ("line dedup", drop_repeated_lines),
+    ("MinHash near-dedup", one_of_each_group),
+    ("benchmark decontamination", free_of_benchmarks),
+    ("mixing to target weights", mixed),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
