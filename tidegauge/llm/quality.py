@@ -37,9 +37,13 @@ def _word_features(word: str) -> tuple[int, ...]:
 
 
 def features(text: str | None) -> np.ndarray:
-    """Hashed features present in the whole text: words, marks around them, case."""
+    """Hashed features of the whole text: words, marks around them, case, recurrence."""
+    words = (text or "").split()
+    distinct = set(words)
     ids: set[int] = set()
-    for word in set((text or "").split()):
+    if words:  # how often words recur on average, in half powers of two
+        ids.add(_hash(f"\0recur {int(2 * np.log2(len(words) / len(distinct)))}"))
+    for word in distinct:
         found = _cache.get(word)
         if found is None:
             if len(_cache) > 300_000:
@@ -61,43 +65,57 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 4e-4, rounds: int = 250) -> Ordinal:
-    """Accelerated proximal gradient on the mean log-likelihood, with an L1 penalty
-    that leaves words without evidence at weight 0. Without rows, all weights are 0
-    and the best grade is near certain."""
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 0.05, rounds: int = 400, least: int = 5, common: float = 0.25) -> Ordinal:
+    """Accelerated proximal gradient on the mean log-likelihood. Features of fewer
+    than ``least`` rows or of more than a share ``common`` of them have weight 0, and
+    an L1 penalty (``l1`` / sqrt(rows)) leaves words without evidence there. Without rows all weights are
+    0 and the best grade is near certain."""
+    weights = np.zeros(DIM, np.float32)
     if not len(rows):
-        return Ordinal(np.zeros(DIM, np.float32), np.full(n_grades - 1, -50.0) + np.arange(n_grades - 1))
-    ids = np.concatenate(rows).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    used, place = np.unique(ids, return_inverse=True)
+        return Ordinal(weights, np.full(n_grades - 1, -50.0) + np.arange(n_grades - 1))
     n, y = len(rows), np.asarray(grades)
+    l1 /= np.sqrt(n)
+    ids = np.concatenate(rows).astype(np.int64)
+    owner = np.repeat(np.arange(n), [len(r) for r in rows])
+    count = np.bincount(ids, minlength=DIM)
+    chosen = (count >= least) & (count <= common * n)
+    keep = chosen[ids]
+    used = np.flatnonzero(chosen)
+    place, owner = np.searchsorted(used, ids[keep]), owner[keep]
+
+    def times(v: np.ndarray) -> np.ndarray:
+        return np.bincount(owner, weights=v[place], minlength=n)
+
+    def back(v: np.ndarray) -> np.ndarray:
+        return np.bincount(place, weights=v[owner], minlength=len(used))
+
+    top, v = 1.0, np.ones(len(used))
+    for _ in range(20):  # the largest curvature, by power iteration
+        v = back(times(v / max(np.linalg.norm(v), 1e-12))) / n
+        top = max(np.linalg.norm(v), 1e-6)
+    pace = 1 / (0.25 * (top + 1))
     share = np.clip([(y >= j).mean() for j in range(1, n_grades)], 1e-3, 1 - 1e-3)
-    theta = -np.log(share / (1 - share))
-    theta = np.maximum.accumulate(theta + 1e-3 * np.arange(n_grades - 1))
+    theta = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-3 * np.arange(n_grades - 1))
     w = np.zeros(len(used))
-    seen, theta_seen, t, pace = w, theta, 1.0, 4.0
+    seen, theta_seen, t = w, theta, 1.0
     for _ in range(rounds):
-        z = np.bincount(owner, weights=seen[place], minlength=n)
+        z = times(seen)
         edge = np.concatenate([[-np.inf], theta_seen, [np.inf]])
         up = 1 / (1 + np.exp(-np.clip(z - edge[y], -50, 50)))  # P(grade >= y)
         down = 1 / (1 + np.exp(-np.clip(z - edge[y + 1], -50, 50)))  # P(grade > y)
         p = np.maximum(up - down, 1e-9)
         du, dd = up * (1 - up) / p, down * (1 - down) / p
-        slope = (du - dd) / n
-        g = np.bincount(place, weights=slope[owner], minlength=len(used))
         g_theta = np.array([-du[y == j].sum() + dd[y == j - 1].sum() for j in range(1, n_grades)]) / n
-        new = seen + pace * g
+        new = seen + pace * back((du - dd) / n)
         new = np.sign(new) * np.maximum(np.abs(new) - pace * l1, 0)
-        theta_new = np.maximum.accumulate(theta_seen + 0.5 * g_theta)
+        theta_new = np.maximum.accumulate(theta_seen + min(1.0, pace) * g_theta)
         theta_new = np.maximum(theta_new, theta_new[0] + 1e-6 * np.arange(n_grades - 1))
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        if ((seen - new) * (new - w)).sum() > 0:
-            t_new = 1.0
+        if ((seen - new) * (new - w)).sum() > 0:  # overshot: momentum starts anew
+            t_new = t = 1.0
         seen = new + (t - 1) / t_new * (new - w)
-        theta_seen = theta_new + (t - 1) / t_new * (theta_new - theta)
-        theta_seen = np.maximum.accumulate(theta_seen)
+        theta_seen = np.maximum.accumulate(theta_new + (t - 1) / t_new * (theta_new - theta))
         w, theta, t = new, theta_new, t_new
-    weights = np.zeros(DIM, np.float32)
     weights[used] = w
     return Ordinal(weights, theta)
 
