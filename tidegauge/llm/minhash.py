@@ -87,6 +87,31 @@ def _sets(shingle_words: int):
     return kernel
 
 
+def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``sets`` (node, component, shingles) in different components
+    that may reach the threshold: none that does is missing.
+
+    Shingles are ordered by how many of these sets hold them, rarest first. If two
+    sets reach it, the larger one's first n - ceil(t n) + 1 shingles and the smaller
+    one's first n - ceil(2t / (1 + t) n) + 1 meet. Where sets differ from all others
+    of their family by more than the threshold lets them, the smaller one's prefix
+    holds only its own changes, and so it is paired with none.
+    """
+    each = sets.select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+    each = each.join(often, "s", "left").select("node", "component", "n", F.struct(F.coalesce("f", F.lit(1)).alias("f"), "s").alias("x"))
+    whole = each.groupBy("node", "component", "n").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    probe = F.expr(f"cast(n - ceil(n * {percent} / 100.0) + 1 as int)")
+    first = stored(whole.select("node", "component", "n", F.posexplode(F.slice("xs", F.lit(1), probe)).alias("i", "x")).where("x.f > 1").select("node", "component", "n", "i", "x.s"), "prefixes")
+    index = first.where(f"i <= n - ceil(n * {2 * percent} / {100 + percent}.0)").toDF("a", "ca", "na", "ia", "s")
+    larger = first.toDF("b", "cb", "nb", "ib", "s2")
+    near = F.expr(
+        f"s = s2 and ca <> cb and (na < nb or (na = nb and a < b)) and 100 * na >= {percent} * nb "
+        f"and 1 + least(na - 1 - ia, nb - 1 - ib) >= (na + nb) * {percent} / {100 + percent}.0 - 1e-9"
+    )
+    return index.join(larger, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -102,8 +127,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     Scale: equal sets are collapsed before anything is paired, so a group of
     copies costs one row per task. Band buckets are then paired with one centre
     each (the member that meets most others), which resolves a group of near
-    copies in as many pairs as it has members; only bucket members that are still
-    in different components are paired among themselves.
+    copies in as many pairs as it has members. Bucket members that are then still in
+    different components go through an exact prefix-filter join.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -137,9 +162,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")
     rest = stored(placed.join(mixed, "key", "left_semi"), "rest")
     if rest.head(1):
-        left, right = rest.toDF("key", "a", "ca"), rest.toDF("key", "b", "cb")
-        more = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        links = stored(links.union(confirmed(more)), "confirmed")
+        more = _prefix_pairs(rest.select("node", "component").distinct().join(sets, "node"), percent)
+        links = stored(links.union(confirmed(more.join(pairs, ["a", "b"], "left_anti"))), "confirmed")
         groups = components(links)
 
     smallest = groups.join(classes.select("node", "smallest"), "node").groupBy("component").agg(F.min("smallest").alias("least"))
