@@ -28,7 +28,10 @@ def _hash(x: str) -> int:
 def _word_features(word: str) -> tuple[int, ...]:
     core = word.strip(".,;:!?\"'()[]{}")
     marks = "".join(c for c in word if not c.isalnum())
-    out = [_hash(core.lower())]
+    low = core.lower()
+    out = [_hash(low)]
+    if len(low) > 4:
+        out.append(_hash("\0start " + low[:4]))
     if marks:
         out.append(_hash("\0marks " + marks[:8]))
     if len(core) > 2 and core.isupper():
@@ -37,12 +40,12 @@ def _word_features(word: str) -> tuple[int, ...]:
 
 
 def features(text: str | None) -> np.ndarray:
-    """Hashed features of the whole text: words, marks around them, case, recurrence."""
+    """Hashed features of the whole text: words, their beginnings, marks around them, case, recurrence."""
     words = (text or "").split()
     distinct = set(words)
     ids: set[int] = set()
-    if words:  # how often words recur on average, in half powers of two
-        ids.add(_hash(f"\0recur {int(2 * np.log2(len(words) / len(distinct)))}"))
+    if words:  # how often words recur for a text of this length, in half powers of two
+        ids.add(_hash(f"\0recur {len(words).bit_length()} {int(2 * np.log2(len(words) / len(distinct)))}"))
     for word in distinct:
         found = _cache.get(word)
         if found is None:
@@ -65,7 +68,7 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 0.05, rounds: int = 400, least: int = 5, common: float = 0.25) -> Ordinal:
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 0.08, rounds: int = 400, least: int = 5, common: float = 0.25) -> Ordinal:
     """Accelerated proximal gradient on the mean log-likelihood. Features of fewer
     than ``least`` rows or of more than a share ``common`` of them have weight 0, and
     an L1 penalty (``l1`` / sqrt(rows)) leaves words without evidence there. Without rows all weights are
