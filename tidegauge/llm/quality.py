@@ -44,8 +44,9 @@ def features(text: str | None) -> np.ndarray:
     words = (text or "").split()
     distinct = set(words)
     ids: set[int] = set()
-    if words:  # how often words recur for a text of this length, in half powers of two
-        ids.add(_hash(f"\0recur {len(words).bit_length()} {int(2 * np.log2(len(words) / len(distinct)))}"))
+    if words:  # how often words recur, in half powers of two; also for texts of such a length
+        often = int(2 * np.log2(len(words) / len(distinct)))
+        ids |= {_hash(f"\0recur {often}"), _hash(f"\0recur {often} {len(words).bit_length()}")}
     for word in distinct:
         found = _cache.get(word)
         if found is None:
@@ -68,7 +69,7 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 0.08, rounds: int = 400, least: int = 5, common: float = 0.25) -> Ordinal:
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 0.05, rounds: int = 400, least: int = 5, common: float = 0.25) -> Ordinal:
     """Accelerated proximal gradient on the mean log-likelihood. Features of fewer
     than ``least`` rows or of more than a share ``common`` of them have weight 0, and
     an L1 penalty (``l1`` / sqrt(rows)) leaves words without evidence there. Without rows all weights are
