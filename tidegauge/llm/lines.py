@@ -19,23 +19,29 @@ _SPACE = r"[\x20\x09-\x0D]+"
 _NO_ID = -(1 << 63)
 
 
+def _shingle(at: Column, words: int) -> Column:
+    """The hash of the words from ``at`` on; those past the line's end don't count."""
+    return F.xxhash64(*(F.get("w", at + k) for k in range(words)))
+
+
 def _with_tokens(lines: DataFrame, words: int) -> DataFrame:
     """Column ``tokens`` from ``line``: distinct hashes of its shingles; of its
     whole sequence if it is shorter. The words are a column of their own, else
     every shingle would split the line anew."""
     lines = lines.withColumn("w", F.array_remove(F.split(F.lower("line"), _SPACE), ""))
-    last = F.greatest(F.size("w") - (words - 1), F.lit(1))
-    shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("w", i, words))))
+    last = F.greatest(F.size("w") - words, F.lit(0))
+    shingles = F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: _shingle(i, words)))
     return lines.withColumn("tokens", F.when(F.size("w") > 0, shingles).otherwise(F.array().cast("array<long>"))).drop("w")
 
 
 def _rarity(docs: DataFrame, words: int) -> Column:
     """An array of SKETCH ranks (0-127) that rise with how often tokens of that
     counter occur in all lines."""
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
-    # explode_outer: the filter on the size that explode brings would be pushed below
-    # the column of words and split the line anew for every shingle.
-    counts = _with_tokens(lines, words).select(F.explode_outer("tokens").alias("t")).where("t is not null").groupBy(F.pmod("t", F.lit(SKETCH)).alias("k")).agg(F.count("*").alias("n")).collect()
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.array_remove(F.split(F.lower("line"), _SPACE), "").alias("w"))
+    # One row for each place, so that hashing stays in generated code. explode_outer:
+    # explode's filter on the size would be pushed below the split and run it again.
+    places = lines.select("w", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("w") - words, F.lit(0)))).alias("i"))
+    counts = places.groupBy(F.pmod(_shingle(F.col("i"), words), F.lit(SKETCH)).alias("k")).agg(F.count("*").alias("n")).collect()
     ranks = [0] * SKETCH
     for k, n in counts:  # at most SKETCH rows
         ranks[k] = min(127, 3 * n.bit_length())
@@ -61,10 +67,12 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     n = F.size("tokens")
     prefix = F.slice("tokens", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1)
     slim = ordered.select("h", F.struct("d", "p", n.alias("n"), prefix.alias("prefix")).alias("x")).groupBy("h").agg(F.min("x").alias("x"))
-    spread = slim.select("x.d", "x.p", "x.n", F.posexplode("x.prefix").alias("i", "t"))
-    # One exchange by token: a token that only one line has in its prefix goes at once.
-    met = spread.groupBy("t").agg(F.count("*").alias("m"), F.min(F.struct("d", "p", "n", "i")).alias("first")).where("m > 1")
-    shared = stored(spread.join(met.select("t", F.col("first.d").alias("fd"), F.col("first.p").alias("fp"), F.col("first.n").alias("fn"), F.col("first.i").alias("fi")), "t"), "prefixes")
+    spread = stored(slim.select("x.d", "x.p", "x.n", F.posexplode("x.prefix").alias("i", "t")), "prefixes")
+    # A token that only one line has in its prefix goes at once.
+    met = spread.groupBy("t").agg(F.count("*").alias("m")).where("m > 1").select("t")
+    shared = stored(spread.join(met, "t"), "shared")
+    first = shared.groupBy("t").agg(F.min(F.struct("d", "p", "n", "i")).alias("first"))
+    starred = shared.join(first.select("t", F.col("first.d").alias("fd"), F.col("first.p").alias("fp"), F.col("first.n").alias("fn"), F.col("first.i").alias("fi")), "t")
 
     def can_reach(n1: str, i1: str, n2: str, i2: str) -> Column:
         need = f"({percent} * (cast({n1} as long) + {n2})) / {100 + percent}.0"  # overlap that the threshold asks for
@@ -72,7 +80,7 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     # First each line against the earliest of each of its prefix tokens, which
     # settles a group of near copies in as many pairs as it has lines.
-    star = shared.where("d <> fd or p <> fp").where(can_reach("n", "i", "fn", "fi")).select(F.col("fd").alias("d1"), F.col("fp").alias("p1"), F.col("d").alias("d2"), F.col("p").alias("p2")).distinct()
+    star = starred.where("d <> fd or p <> fp").where(can_reach("n", "i", "fn", "fi")).select(F.col("fd").alias("d1"), F.col("fp").alias("p1"), F.col("d").alias("d2"), F.col("p").alias("p2")).distinct()
     star = stored(star, "star")
     wanted = stored(shared.select("d", "p").distinct().join(firsts, ["d", "p"]), "wanted")
     sets = stored(
