@@ -21,25 +21,17 @@ def normal(text: str | None) -> str:
     return " ".join(text.lower().split()) if text else ""
 
 
-class Item:
-    """A test item: its pieces, of which a copy within the budget must hold one
-    unchanged, and Myers' bit-parallel matcher."""
+class Pattern:
+    """A text to be found with at most ``budget`` edits, by Myers' bit-parallel matcher."""
 
-    def __init__(self, ident: object, text: str, rate: float) -> None:
-        self.ident, self.text, self.size = ident, text, len(text)
-        self.budget = int(rate * len(text))
+    def __init__(self, text: str, budget: int) -> None:
+        self.text, self.size, self.budget = text, len(text), budget
         self.masks: dict[str, int] = {}
         for i, c in enumerate(text):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
 
-    def pieces(self) -> Iterator[tuple[int, str]]:
-        n = self.budget + 1
-        for i in range(n):
-            a, b = i * self.size // n, (i + 1) * self.size // n
-            yield a, self.text[a:b]
-
     def distance(self, text: str) -> int:
-        """The least edit distance between the item and a substring of ``text``."""
+        """The least edit distance between the pattern and a substring of ``text``."""
         full, top = (1 << self.size) - 1, 1 << (self.size - 1)
         plus, minus, score, best = full, 0, self.size, self.size
         for c in text:
@@ -59,6 +51,48 @@ class Item:
         return best
 
 
+class Item(Pattern):
+    """A test item. It is split into budget + 1 pieces, of which any copy within the
+    budget holds one unchanged. Pieces are joined two by two up to the whole item;
+    what joins n of them is allowed n - 1 edits. The pigeonhole holds at every level:
+    some piece of the copy is unchanged and all that is joined from it keeps its
+    budget, so a chance hit is dropped at the first level that fails."""
+
+    def __init__(self, ident: object, text: str, rate: float) -> None:
+        super().__init__(text, int(rate * len(text)))
+        self.ident = ident
+        self.levels: list[list[tuple[int, Pattern]]] = [[] for _ in range(self.budget + 1)]
+        self._join(0, self.budget + 1)
+
+    def _place(self, piece: int) -> int:
+        return piece * self.size // (self.budget + 1)
+
+    def _join(self, low: int, high: int) -> None:
+        if high - low < 2:
+            return
+        middle = (low + high) // 2
+        self._join(low, middle)
+        self._join(middle, high)
+        if high - low <= self.budget:
+            a, b = self._place(low), self._place(high)
+            joined = (a, Pattern(self.text[a:b], high - low - 1))
+            for piece in range(low, high):
+                self.levels[piece].append(joined)
+
+    def pieces(self) -> Iterator[tuple[int, str]]:
+        for i in range(self.budget + 1):
+            yield self._place(i), self.text[self._place(i) : self._place(i + 1)]
+
+    def plausible(self, piece: int, text: str, start: int) -> bool:
+        """Whether all that is joined from a piece may stand in ``text``, if the item
+        would start at ``start``."""
+        for a, p in self.levels[piece]:
+            low = start + a - p.budget
+            if p.distance(text[max(0, low) : start + a + p.size + p.budget]) > p.budget:
+                return False
+        return True
+
+
 class Matcher:
     """Finds the items that a text contains within their budgets."""
 
@@ -67,10 +101,10 @@ class Matcher:
 
         self.items = [Item(i, t, rate) for i, x in items if (t := normal(x))]
         self.automaton = ahocorasick.Automaton()
-        places: dict[str, list[tuple[int, int]]] = {}
+        places: dict[str, list[tuple[int, int, int]]] = {}
         for k, item in enumerate(self.items):
-            for at, piece in item.pieces():
-                places.setdefault(piece, []).append((k, at))
+            for n, (at, piece) in enumerate(item.pieces()):
+                places.setdefault(piece, []).append((k, n, at))
         for piece, found in places.items():
             self.automaton.add_word(piece, (len(piece), found))
         if places:
@@ -82,8 +116,10 @@ class Matcher:
         if not self.items or not text:
             return {}
         for end, (size, found) in self.automaton.iter(text):
-            for k, at in found:
-                starts.setdefault(k, set()).add(end - size + 1 - at)
+            for k, n, at in found:
+                start = end - size + 1 - at
+                if start not in starts.get(k, ()) and self.items[k].plausible(n, text, start):
+                    starts.setdefault(k, set()).add(start)
         out = {}
         for k, where in starts.items():
             item = self.items[k]
@@ -126,7 +162,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
     without an id shows as an empty one. Empty tables give no match.
 
     Every item is split into budget + 1 pieces; an automaton finds exact piece
-    hits, and Myers' bit-parallel distance verifies the passage around each. Only
+    hits, and Myers' bit-parallel distance verifies the passage around each, from the
+    piece outwards. Only
     the items are broadcast, in blocks of at most BLOCK_CHARS characters (one pass
     over the documents for each block); no document is shuffled.
     """
