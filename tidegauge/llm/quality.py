@@ -15,9 +15,11 @@ from .common import map_batches, table
 
 DIM = 1 << 18
 #: Labelled rows that the model is fitted on at most (those of smallest hash).
-FIT_ROWS = 12_000
+FIT_ROWS = 6_000
 #: A document stays if its probability of the best grade is at least this.
 LEAST_TAIL = 0.5
+#: Words whose features a Python worker remembers.
+CACHED = 300_000
 _cache: dict[str, tuple[int, ...]] = {}
 
 
@@ -26,8 +28,11 @@ def _hash(x: str) -> int:
 
 
 def _word_features(word: str) -> tuple[int, ...]:
-    core = word.strip(".,;:!?\"'()[]{}")
-    marks = "".join(c for c in word if not c.isalnum())
+    if word.isalnum():
+        core, marks = word, ""
+    else:
+        core = word.strip(".,;:!?\"'()[]{}")
+        marks = "".join([c for c in word if not c.isalnum()])
     low = core.lower()
     out = [_hash(low)]
     if len(low) > 4:
@@ -50,9 +55,9 @@ def features(text: str | None) -> np.ndarray:
     for word in distinct:
         found = _cache.get(word)
         if found is None:
-            if len(_cache) > 300_000:
-                _cache.clear()
-            found = _cache[word] = _word_features(word)
+            found = _word_features(word)
+            if len(_cache) < CACHED:  # the words met first, common ones among them
+                _cache[word] = found
         ids.update(found)
     return np.fromiter(ids, np.int32, len(ids))
 
@@ -79,13 +84,14 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 0
         return Ordinal(weights, np.full(n_grades - 1, -50.0) + np.arange(n_grades - 1))
     n, y = len(rows), np.asarray(grades)
     l1 /= np.sqrt(n)
-    ids = np.concatenate(rows).astype(np.int64)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
+    ids = np.concatenate(rows)
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     count = np.bincount(ids, minlength=DIM)
     chosen = (count >= least) & (count <= common * n)
     keep = chosen[ids]
     used = np.flatnonzero(chosen)
-    place, owner = np.searchsorted(used, ids[keep]), owner[keep]
+    place, owner = np.searchsorted(used, ids[keep]), owner[keep].astype(np.int64)
+    del ids, keep
 
     def times(v: np.ndarray) -> np.ndarray:
         return np.bincount(owner, weights=v[place], minlength=n)
@@ -140,12 +146,12 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ordin
     joined = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def kernel(batch: pa.RecordBatch) -> dict[str, object]:
-        return {"doc_id": batch.column(0), "grade": batch.column(2), "ids": [features(x).tolist() for x in batch.column(1).to_pylist()]}
+        return {"doc_id": batch.column(0), "grade": batch.column(2), "ids": [features(x).tobytes() for x in batch.column(1).to_pylist()]}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = map_batches(joined.select("doc_id", "text", "grade"), kernel, f"doc_id {kind}, grade int, ids array<int>", 1)
+    rows = map_batches(joined.select("doc_id", "text", "grade"), kernel, f"doc_id {kind}, grade int, ids binary", 1)
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "grade", "ids").limit(fit_rows).collect()
-    return fit([np.asarray(r.ids, np.int32) for r in rows], np.array([r.grade for r in rows], np.int64), N_GRADES)
+    return fit([np.frombuffer(r.ids, np.int32) for r in rows], np.array([r.grade for r in rows], np.int64), N_GRADES)
 
 
 def grade(docs: DataFrame, model: Ordinal, least_tail: float = LEAST_TAIL) -> DataFrame:
