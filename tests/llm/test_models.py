@@ -203,6 +203,19 @@ def test_pages_of_the_tables(spark):
         assert got[r.page_id] == " ".join(entities.unescape(plain).split())
 
 
+def test_articles_stay_whole():
+    page = "<body><div>same</div><article><header><h1>Head {n}</h1></header><div class=body><p>{long}</p><ul><li>item {n}</ul></div></article></body>"
+    pages = [page.format(n=n, long=f"long text {n} " * 20) for n in range(5)]
+    wrapper = html.induce([html.skeleton(html.parse(x)) for x in pages])
+    for n, x in enumerate(pages):
+        want = f"Head {n} " + f"long text {n} " * 20 + f"item {n}"
+        assert html.extract(x, wrapper) == html.extract(x, None) == want
+    plain = "<body><div class=lead><p>Lead {n}</p></div><div class=text><div><p>{long}</p></div></div></body>"
+    pages = [plain.format(n=n, long=f"long text {n} " * 20) for n in range(5)]
+    wrapper = html.induce([html.skeleton(html.parse(x)) for x in pages])
+    assert html.extract(pages[1], wrapper) == html.extract(pages[1], None) == "Lead 1 " + ("long text 1 " * 20).strip()
+
+
 @pytest.mark.parametrize("bad", ["<", "<p", "</", "<p a='", "<!--", "<script>x", "</p></div>", "<p><div></p></div>", "&#xZZ; &bogus;", "<a" * 500])
 def test_any_markup_is_read(bad):
     assert isinstance(html.extract(bad, None), str)

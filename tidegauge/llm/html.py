@@ -2,8 +2,8 @@
 
 Pages of one host are aligned by simple tree matching. Aligned nodes whose text is
 the same on all of them are template, slots that vary are content; the wrapper is
-the path to the smallest node that holds most of the varying text. Every page of
-the host is then read through its wrapper.
+the path to the lowest node that holds all varying text, and ends at article and
+main. Every page of the host is then read through its wrapper.
 """
 
 from __future__ import annotations
@@ -130,10 +130,10 @@ def _texts(node: Node, out: list[str], fixed: frozenset[str], path: str) -> None
         elif x.dropped:
             out.append(" ")
         else:
-            here = f"{path}/{x.label}"
-            if here in fixed:
-                continue
             inline = x.tag in INLINE
+            here = path if inline else f"{path}/{x.label}"
+            if not inline and here in fixed:
+                continue
             if not inline:
                 out.append(" ")
             _texts(x, out, fixed, here)
@@ -224,10 +224,10 @@ def induce(skeletons: list[list]) -> dict | None:
     if not varying(first):
         return None
     while node[3] and len(path) < LONGEST_PATH:
-        share = [(varying(c), c) for c in node[3]]
-        most, child = max(share, key=lambda s: s[0])
-        # A run of paragraphs or a heading is content of this node, not a node to enter.
-        if most < 0.6 * varying(node) or not child[3] or not met.get(id(child)) or _TEXTUAL.match(child[0]):
+        most, child = max(((varying(c), c) for c in node[3]), key=lambda s: s[0])
+        # A run of paragraphs or a heading is content of this node, not a node to enter,
+        # and what stands beside varying text in an article belongs to it.
+        if _is_article(node[0]) or most < varying(node) or not child[3] or not met.get(id(child)) or _TEXTUAL.match(child[0]):
             break
         path.append(child[0])
         node = child
@@ -237,67 +237,56 @@ def induce(skeletons: list[list]) -> dict | None:
         for c in n[3]:
             here = f"{at}/{c[0]}"
             alone = sum(d[0] == c[0] for d in n[3]) == 1
-            if len(rest) >= 2 and alone and not _TEXTUAL.match(c[0]) and c[0] not in ("article", "main") and met.get(id(c), 0) == len(rest) and c[2] and not varying(c):
+            if len(rest) >= 2 and alone and not _TEXTUAL.match(c[0]) and not _is_article(c[0]) and met.get(id(c), 0) == len(rest) and c[2] and not varying(c):
                 fixed.append(here)
             else:
                 template(c, here)
 
-    template(node, "")
+    template(node, "".join(f"/{x}" for x in path))
     return {"path": path, "fixed": fixed}
 
 
-def _along(node: Node, path: list[str]) -> list[Node]:
-    """Nodes at the path; inline nodes and unnamed wrappers in between are passed."""
+def _is_article(label: str) -> bool:
+    return label.split(".")[0] in ("article", "main")
+
+
+def _along(node: Node, path: list[str], at: str = "") -> list[tuple[Node, str]]:
+    """Nodes at the path, and theirs; inline nodes in between are passed."""
     if not path:
-        return [node]
-    out: list[Node] = []
+        return [(node, at)]
+    out: list[tuple[Node, str]] = []
     for x in node.nodes():
         if x.dropped:
             continue
         if x.label == path[0]:
-            out += _along(x, path[1:])
+            out += _along(x, path[1:], f"{at}/{x.label}")
         elif x.tag in INLINE:
-            out += _along(x, path)
+            out += _along(x, path, at)
     return out
 
 
-def _densest(root: Node) -> Node:
-    """For a page that no wrapper fits: its article, or the node with most text."""
-    best = root
-    while True:
-        share = [(len(text_of([c])), c) for c in best.nodes() if not c.dropped and c.tag not in INLINE]
-        whole = len(text_of([best]))
-        if not share:
-            return best
-        marked = [c for _, c in share if c.tag in ("article", "main")]
-        most, child = max(share, key=lambda s: s[0])
-        if marked:
-            child = max(marked, key=lambda c: len(text_of([c])))
-        elif most < 0.8 * whole or _TEXTUAL.match(child.label):
-            return best
-        best = child
-
-
 def extract(html: str | None, wrapper: dict | None) -> str:
-    """The main text of a page, through its host's wrapper if that finds any."""
+    """The main text of a page: of all its articles, else of what its host's wrapper
+    leads to, else of the whole page; template and boilerplate nodes go."""
     if not html:
         return ""
     root = parse(html)
-    if wrapper:
-        found = text_of(_along(root, wrapper["path"]), frozenset(wrapper["fixed"]))
-        if found:
-            inner = [n for n in _articles(root)]
-            return found if not inner or "article" in "/".join(wrapper["path"]) or "main" in "/".join(wrapper["path"]) else text_of(inner, frozenset(wrapper["fixed"]))
-    return text_of([_densest(root)])
+    fixed = frozenset(wrapper["fixed"]) if wrapper else frozenset()
+    found = list(_articles(root))
+    if not found and wrapper:
+        found = _along(root, wrapper["path"])
+    return " ".join(x for n, at in found if (x := text_of([n], fixed, at))) or text_of([root])
 
 
-def _articles(node: Node) -> Iterator[Node]:
+def _articles(node: Node, at: str = "") -> Iterator[tuple[Node, str]]:
+    """The outermost article and main nodes, and their paths."""
     for x in node.nodes():
         if not x.dropped:
+            here = at if x.tag in INLINE else f"{at}/{x.label}"
             if x.tag in ("article", "main"):
-                yield x
+                yield x, here
             else:
-                yield from _articles(x)
+                yield from _articles(x, here)
 
 
 def _host(url: str) -> F.Column:
@@ -329,7 +318,7 @@ def main_text(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
 
     The whole html is read through the wrapper of its url's host. Hosts of one page,
     pages without a host and pages that the wrapper finds nothing on are read by
-    their own structure (the article, or the node that holds most text). Null or
+    their own structure (the articles, or all that is no boilerplate). Null or
     empty html gives an empty text; null ids, repeated rows and extra columns
     change nothing; an empty table gives none.
 
