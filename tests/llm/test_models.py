@@ -203,17 +203,31 @@ def test_pages_of_the_tables(spark):
         assert got[r.page_id] == " ".join(entities.unescape(plain).split())
 
 
-def test_articles_stay_whole():
+def texts_of(spark, pages):
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").selectExpr("page_id", "concat('http://h.example/', page_id) as url", "html")
+    return [r.text for r in html.main_text(df).orderBy("page_id").collect()]
+
+
+def test_articles_stay_whole(spark):
     page = "<body><div>same</div><article><header><h1>Head {n}</h1></header><div class=body><p>{long}</p><ul><li>item {n}</ul></div></article></body>"
     pages = [page.format(n=n, long=f"long text {n} " * 20) for n in range(5)]
-    wrapper = html.induce([html.skeleton(html.parse(x)) for x in pages])
-    for n, x in enumerate(pages):
-        want = f"Head {n} " + f"long text {n} " * 20 + f"item {n}"
-        assert html.extract(x, wrapper) == html.extract(x, None) == want
+    want = [f"Head {n} " + f"long text {n} " * 20 + f"item {n}" for n in range(5)]
+    assert texts_of(spark, pages) == want == [html.extract(x, None) for x in pages]
     plain = "<body><div class=lead><p>Lead {n}</p></div><div class=text><div><p>{long}</p></div></div></body>"
     pages = [plain.format(n=n, long=f"long text {n} " * 20) for n in range(5)]
-    wrapper = html.induce([html.skeleton(html.parse(x)) for x in pages])
-    assert html.extract(pages[1], wrapper) == html.extract(pages[1], None) == "Lead 1 " + ("long text 1 " * 20).strip()
+    want = [f"Lead {n} " + (f"long text {n} " * 20).strip() for n in range(5)]
+    assert texts_of(spark, pages) == want == [html.extract(x, None) for x in pages]
+
+
+def test_wrappers_of_all_pages_and_layouts(spark, monkeypatch):
+    # A block that only 2 of 40 pages have otherwise is no template; one that all share is.
+    one = "<body><div class=top>Site</div><div class=x><section class=s>{s}</section><p>Text {n}</p></div></body>"
+    two = "<body><div class=bar>Bar</div><div class=y><div class=note>Same note</div><p>Other {n}</p></div></body>"
+    pages = [one.format(n=n, s="odd" if n in (7, 31) else "usual") for n in range(40)] + [two.format(n=n) for n in range(40, 50)]
+    want = [f"{'odd' if n in (7, 31) else 'usual'} Text {n}" for n in range(40)] + [f"Other {n}" for n in range(40, 50)]
+    assert texts_of(spark, pages) == want
+    monkeypatch.setattr(html, "SENT_WRAPPERS", 0)
+    assert texts_of(spark, pages) == want
 
 
 @pytest.mark.parametrize("bad", ["<", "<p", "</", "<p a='", "<!--", "<script>x", "</p></div>", "<p><div></p></div>", "&#xZZ; &bogus;", "<a" * 500])

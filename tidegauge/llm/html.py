@@ -1,31 +1,30 @@
 """Operator 9, HTML extraction by wrapper induction.
 
-Pages of one host are aligned by simple tree matching. Aligned nodes whose text is
-the same on all of them are template, slots that vary are content; the wrapper is
-the path to the lowest node that holds all varying text, and ends at article and
-main. Every page of the host is then read through its wrapper.
+Pages of one host and layout are aligned by the label paths of their nodes. A slot
+(a path) whose text is the same on all pages that have it is template, slots that
+vary are content; the wrapper is the path to the lowest node that holds all varying
+text, and ends at article and main. Every page is then read through the wrapper of
+its host and layout.
 """
 
 from __future__ import annotations
 
 import html as entities
-import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, stored, table
 
-#: Pages of a host that its wrapper is learned from at most (those of smallest hash).
-FIT_PAGES = 6
-#: Wrappers are broadcast up to this many hosts, beyond it joined by a shuffle.
-BROADCAST_HOSTS = 100_000
-LONGEST_PATH = 12
+#: A slot is template only if at least so many different pages have it.
+TEMPLATE_PAGES = 3
+#: Up to this many wrappers are sent to every task, beyond it joined by a shuffle.
+SENT_WRAPPERS = 100_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strong sub sup time tt u var wbr".split())
@@ -63,7 +62,7 @@ def _node(tag: str, attributes: str, inside: bool) -> Node:
         for key, a, b, c in _NAMES.findall(attributes):
             value, key = a or b or c, key.lower()
             if key == "class":
-                names = " ".join(sorted(re.sub(r"\d+", "0", value).lower().split()))
+                names = " ".join(sorted(re.sub(r"\d+", "0", value).lower().replace("/", "|").split()))
             if key in ("class", "id") and tag not in ("html", "body", "article", "main"):
                 dropped |= bool(_MARKS.search(value))
             dropped |= key == "hidden" or key == "style" and "display:none" in value.replace(" ", "").lower() or key == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search")
@@ -202,48 +201,58 @@ def match(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
     return best[-1][-1] + 1, pairs
 
 
-def induce(skeletons: list[list]) -> dict | None:
-    """The wrapper of pages that look like these: ``path`` (labels from the root to
-    the content) and ``fixed`` (paths of template nodes inside it). None if there
-    are no two pages to compare or nothing varies."""
-    if len(skeletons) < 2:
-        return None
-    first, rest = skeletons[0], skeletons[1:]
-    met: dict[int, int] = {}
-    same: dict[int, int] = {}
-    for other in rest:
-        for a, b in match(first, other)[1]:
-            met[id(a)] = met.get(id(a), 0) + 1
-            same[id(a)] = same.get(id(a), 0) + (a[1:3] == b[1:3])
-
-    def varying(n: list) -> int:
-        own = 0 if met.get(id(n), 0) == len(rest) and same.get(id(n), 0) == len(rest) else n[2]
-        return own + sum(varying(c) for c in n[3])
-
-    path, node = [], first
-    if not varying(first):
-        return None
-    while node[3] and len(path) < LONGEST_PATH:
-        most, child = max(((varying(c), c) for c in node[3]), key=lambda s: s[0])
-        # A run of paragraphs or a heading is content of this node, not a node to enter,
-        # and what stands beside varying text in an article belongs to it.
-        if _is_article(node[0]) or most < varying(node) or not child[3] or not met.get(id(child)) or _TEXTUAL.match(child[0]):
-            break
-        path.append(child[0])
-        node = child
-    fixed: list[str] = []
+def layout(outline: list) -> str:
+    """A name of the page's layout: the labels of the blocks side by side at the first
+    level that has several, and the path to it."""
+    at: list[str] = []
+    while True:
+        blocks = {c[0]: c for c in outline[3] if not _TEXTUAL.match(c[0]) and c[0] not in _LISTS}
+        at.append("\n".join(sorted(blocks)))
+        if len(blocks) != 1 or _is_article(at[-1]):
+            return "%08x" % zlib.crc32("/".join(at).encode("utf-8", "surrogatepass"))
+        outline = blocks.popitem()[1]
+
+
+def slots(outline: list) -> tuple[int, dict[str, list]]:
+    """The page's hash, and [hash of own text, hash of all text, alone] for each path
+    with text. A hash is None where there is no such text; nodes that share a path
+    count as one, which isn't alone."""
+    out: dict[str, list] = {}
 
-    def template(n: list, at: str) -> None:
+    def walk(n: list, at: str, alone: bool) -> tuple[int, int]:
+        size, parts = n[2], [n[1], n[2]]
+        labels = Counter(c[0] for c in n[3])
         for c in n[3]:
-            here = f"{at}/{c[0]}"
-            alone = sum(d[0] == c[0] for d in n[3]) == 1
-            if len(rest) >= 2 and alone and not _TEXTUAL.match(c[0]) and not _is_article(c[0]) and met.get(id(c), 0) == len(rest) and c[2] and not varying(c):
-                fixed.append(here)
+            inner, x = walk(c, f"{at}/{c[0]}", labels[c[0]] == 1)
+            size += inner
+            parts += [zlib.crc32(c[0].encode("utf-8", "surrogatepass")), x]
+        whole = zlib.crc32(b"%d," * len(parts) % tuple(parts))
+        if size:
+            own = zlib.crc32(b"%d,%d" % (n[1], n[2])) if n[2] else None
+            if at in out:
+                both = out[at]
+                own = own if both[0] is None else both[0] if own is None else zlib.crc32(b"%d,%d" % (both[0], own))
+                out[at] = [own, zlib.crc32(b"%d,%d" % (both[1], whole)), False]
             else:
-                template(c, here)
+                out[at] = [own, whole, alone]
+        return size, whole
+
+    _, whole = walk(outline, "", True)
+    return whole, out
+
 
-    template(node, "".join(f"/{x}" for x in path))
-    return {"path": path, "fixed": fixed}
+def _common(low: str, high: str) -> list[str]:
+    """The path above all those from ``low`` to ``high``, each ended by a slash; it
+    ends at the first article or main and enters nothing textual."""
+    n = next((i for i, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), min(len(low), len(high)))
+    out: list[str] = []
+    for label in low[:n].split("/")[1:-1]:
+        if _TEXTUAL.match(label):
+            break
+        out.append(label)
+        if _is_article(label):
+            break
+    return out
 
 
 def _is_article(label: str) -> bool:
@@ -268,14 +277,16 @@ def _along(node: Node, path: list[str], at: str = "") -> list[tuple[Node, str]]:
 def extract(html: str | None, wrapper: dict | None) -> str:
     """The main text of a page: of all its articles, else of what its host's wrapper
     leads to, else of the whole page; template and boilerplate nodes go."""
-    if not html:
-        return ""
-    root = parse(html)
-    fixed = frozenset(wrapper["fixed"]) if wrapper else frozenset()
-    found = list(_articles(root))
-    if not found and wrapper:
-        found = _along(root, wrapper["path"])
-    return " ".join(x for n, at in found if (x := text_of([n], fixed, at))) or text_of([root])
+    return text_through(parse(html), wrapper) if html else ""
+
+
+def text_through(root: Node, wrapper: dict | None) -> str:
+    fixed = wrapper["fixed"] if wrapper else frozenset()
+    for found in (list(_articles(root)), _along(root, wrapper["path"]) if wrapper else []):
+        text = " ".join(x for n, at in found if (x := text_of([n], fixed, at)))
+        if text:
+            return text
+    return text_of([root])
 
 
 def _articles(node: Node, at: str = "") -> Iterator[tuple[Node, str]]:
@@ -293,57 +304,94 @@ def _host(url: str) -> F.Column:
     return F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
 
 
-def wrappers(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
-    """(host, wrapper as JSON) for the hosts of ``pages`` (url, html) that have one."""
-
-    def outline(batch: pa.RecordBatch) -> dict[str, object]:
-        return {"host": batch.column(0), "mark": batch.column(1), "tree": [json.dumps(skeleton(parse(x or ""))) for x in batch.column(2).to_pylist()]}
-
-    known = pages.select(_host("url").alias("host"), F.xxhash64("url").alias("mark"), F.col("html").cast("string").alias("html")).where("host <> '' and html is not null")
-    # First the marks alone are ranked, so that no page beyond the sample is parsed twice.
-    rank = F.row_number().over(Window.partitionBy("host").orderBy("mark", "tree"))
-    trees = map_batches(known, outline, "host string, mark long, tree string", 2)
-    chosen = trees.withColumn("rank", rank).where(F.col("rank") <= fit_pages)
-
-    def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["mark", "tree"])
-        found = induce([json.loads(x) for x in rows["tree"].drop_duplicates()])
-        return pd.DataFrame({"host": rows["host"].iloc[:1], "wrapper": [json.dumps(found) if found else None]})
-
-    return chosen.groupBy("host").applyInPandas(learn, "host string, wrapper string").where("wrapper is not null")
-
-
-def main_text(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, layout, low, high, fixed) for each layout of the hosts of ``pages`` (url,
+    html) that can be learned, and for all pages of a host as layout ''. The wrapper's
+    path is what ``low`` and ``high`` have in common; ``fixed`` are template paths."""
+    known = pages.select(_host("url").alias("host"), F.col("html").cast("string").alias("html")).where("host <> '' and html is not null")
+
+    def count(batch: pa.RecordBatch) -> dict[str, object]:
+        """The slots of the batch's pages, summed up by (host, layout, path)."""
+        met: dict[tuple[str, str, str], list] = {}
+        for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            outline = skeleton(parse(text))
+            name, (page, found) = layout(outline), slots(outline)
+            for path, (own, whole, alone) in found.items():
+                key = (host, name, path)
+                x = met.get(key)
+                if x is None:
+                    met[key] = [own, own, whole, whole, alone, [page]]
+                    continue
+                if own is not None:
+                    x[0], x[1] = (own, own) if x[0] is None else (min(x[0], own), max(x[1], own))
+                x[2], x[3], x[4] = min(x[2], whole), max(x[3], whole), x[4] and alone
+                if len(x[5]) < TEMPLATE_PAGES and page not in x[5]:
+                    x[5].append(page)
+        names = ("own_low", "own_high", "low", "high", "alone", "pages")
+        return {n: [k[i] for k in met] for i, n in enumerate(("host", "layout", "path"))} | {n: [x[i] for x in met.values()] for i, n in enumerate(names)}
+
+    parts = map_batches(known, count, "host string, layout string, path string, own_low long, own_high long, low long, high long, alone boolean, pages array<long>", 1)
+    each = parts.groupBy("host", "layout", "path").agg(
+        F.min("own_low").alias("own_low"), F.max("own_high").alias("own_high"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("alone").alias("alone"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("n"),
+    )
+    # Pages of different layouts differ, so their numbers add up.
+    whole = each.groupBy("host", F.lit("").alias("layout"), "path").agg(F.min("own_low").alias("own_low"), F.max("own_high").alias("own_high"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("alone").alias("alone"), F.sum("n").alias("n"))
+    label = F.element_at(F.split("path", "/"), -1)
+    fixed = F.expr(f"n >= {TEMPLATE_PAGES} and low = high and alone and path <> ''") & ~label.rlike(rf"^(?:{_TEXTUAL.pattern}|(article|main)(\.|$))")
+    varies = F.when(F.expr(f"own_low is not null and (n < {TEMPLATE_PAGES} or own_low <> own_high)"), F.concat("path", F.lit("/")))
+    found = each.union(whole).groupBy("host", "layout").agg(F.sort_array(F.collect_list(F.when(fixed, F.col("path")))).alias("fixed"), F.min(varies).alias("low"), F.max(varies).alias("high"), F.max("n").alias("n"))
+    return found.where(f"n >= {TEMPLATE_PAGES} and low is not null").select("host", "layout", "low", "high", "fixed")
+
+
+def _wrapper(low: str, high: str, fixed: list[str]) -> dict:
+    return {"path": _common(low, high), "fixed": frozenset(fixed)}
+
+
+def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html).
 
-    The whole html is read through the wrapper of its url's host. Hosts of one page,
-    pages without a host and pages that the wrapper finds nothing on are read by
-    their own structure (the articles, or all that is no boilerplate). Null or
-    empty html gives an empty text; null ids, repeated rows and extra columns
-    change nothing; an empty table gives none.
+    The whole html is read through the wrapper of its url's host and its layout; of
+    all pages of the host if its layout has fewer than TEMPLATE_PAGES different ones.
+    Hosts with fewer, pages without a host and pages that the wrapper finds nothing
+    on are read by their own structure (the articles, or all that is no boilerplate). Null or empty html gives an empty
+    text; null ids, repeated rows and extra columns change nothing; an empty table
+    gives none.
 
-    Scale: wrappers are learned from outlines (labels and text hashes) of at most
-    ``fit_pages`` pages of a host, so a hot host costs no more than another; html is
-    not shuffled unless there are more than BROADCAST_HOSTS hosts.
+    Scale: wrappers are learned from all pages of a host. Executors sum up a batch's
+    slots (paths and text hashes) before they are exchanged, so a hot host costs a few
+    rows a batch; html is not shuffled unless there are more than SENT_WRAPPERS wrappers.
     """
-    learned = stored(wrappers(pages, fit_pages), "wrappers")
-    few = learned.count() <= BROADCAST_HOSTS
+    kind = pages.schema["page_id"].dataType.simpleString()
     slim = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), _host("url").alias("host"))
-    joined = slim.join(F.broadcast(learned) if few else learned, "host", "left").select("page_id", "url", "html", "wrapper")
-    known: dict[str, dict] = {}
-
-    def kernel(batch: pa.RecordBatch) -> dict[str, object]:
-        texts = []
-        for html, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if w is not None and w not in known:
-                if len(known) > 10_000:
-                    known.clear()
-                known[w] = json.loads(w)
-            texts.append(extract(html, known.get(w)))
+    learned = stored(wrappers(pages), "wrappers")
+    if learned.count() <= SENT_WRAPPERS:
+        sent = {(r.host, r.layout): _wrapper(r.low, r.high, r.fixed) for r in learned.collect()}
+
+        def read(batch: pa.RecordBatch) -> dict[str, object]:
+            texts = []
+            for html, host in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                root = parse(html or "")
+                wrapper = None
+                if (host, "") in sent:
+                    wrapper = sent.get((host, layout(skeleton(root))), sent[host, ""])
+                texts.append(text_through(root, wrapper))
+            return {"page_id": batch.column(0), "url": batch.column(1), "text": texts, "n_chars": [len(x) for x in texts]}
+
+        return map_batches(slim, read, f"page_id {kind}, url string, text string, n_chars long", 2)
+
+    def named(batch: pa.RecordBatch) -> dict[str, object]:
+        return dict(zip(("page_id", "url", "html", "host"), batch.columns, strict=True)) | {"layout": [layout(skeleton(parse(x or ""))) for x in batch.column(2).to_pylist()]}
+
+    own = learned.select("host", "layout", F.struct("low", "high", "fixed").alias("own"))
+    whole = learned.where("layout = ''").select("host", F.struct("low", "high", "fixed").alias("whole"))
+    joined = map_batches(slim, named, f"page_id {kind}, url string, html string, host string, layout string", 2).join(own, ["host", "layout"], "left").join(whole, "host", "left")
+
+    def read_joined(batch: pa.RecordBatch) -> dict[str, object]:
+        texts = [extract(html, _wrapper(**w) if w else None) for html, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         return {"page_id": batch.column(0), "url": batch.column(1), "text": texts, "n_chars": [len(x) for x in texts]}
 
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return map_batches(joined, kernel, f"page_id {kind}, url string, text string, n_chars long", 2)
+    return map_batches(joined.select("page_id", "url", "html", F.coalesce("own", "whole").alias("wrapper")), read_joined, f"page_id {kind}, url string, text string, n_chars long", 2)
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
