@@ -4,7 +4,7 @@ import random
 import re
 
 from tidegauge.llm.common import components
-from tidegauge.llm.lines import dedup_lines
+from tidegauge.llm.lines import dedup_lines, op3_line_dedup
 from tidegauge.llm.minhash import near_duplicates
 
 SCHEMA = "doc_id long, text string, d string, node string, n_lines string"
@@ -105,3 +105,10 @@ def test_line_dedup_edges(spark):
     got = sorted(((r.doc_id, r.text, r.n_removed) for r in dedup_lines(df).collect()), key=str)
     assert got == sorted([(None, "same line here", 0), (1, "other", 1), (2, "x", 1), (2, "x", 1)], key=str)
     assert dedup_lines(df.limit(0)).collect() == []
+
+
+def test_line_dedup_query_returns_the_rebuilt_text(spark, tmp_path):
+    rows = [(1, "the very same line stands here\nlone one"), (2, "other\nThe very same line stands here\n"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed, r.removed) for r in op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (rows[0][1], 2, 0, []), 2: ("other\n", 3, 1, [1]), 3: (None, 0, 0, [])}

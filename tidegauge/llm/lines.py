@@ -128,20 +128,29 @@ def dedup_lines(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     is first held against its earliest line. A document's own positions are the
     only thing that is gathered.
     """
+    out, n_lines, n_removed, removed = _cleaned(docs, words, percent)
+    return out.select(*docs.columns, n_lines, n_removed)
+
+
+def _cleaned(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, str, str, str]:
+    """The result of ``dedup_lines`` with the sorted positions of the removed lines,
+    and the names of the added columns."""
     marks = line_marks(docs, words, percent)
     d = free_name(docs, "d")
     marks = marks.toDF(d, f"{d}_removed")
-    n_lines, n_removed = free_name(docs, "n_lines"), free_name(docs, "n_removed")
+    n_lines, n_removed, removed = (free_name(docs, x) for x in ("n_lines", "n_removed", "removed"))
     out = docs.withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn(n_lines, F.coalesce(F.size(F.split("text", "\n")), F.lit(0)))
     out = out.withColumn(n_lines, F.when(F.col("text").isNull(), 0).otherwise(F.col(n_lines))).join(marks, d, "left")
     gone = F.col(f"{d}_removed")
     lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     text = F.when(gone.isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    removed = F.coalesce(F.size(F.filter(gone, lambda i: i < F.col(n_lines))), F.lit(0))
-    out = out.withColumn(n_removed, F.when(gone.isNull(), 0).otherwise(removed)).withColumn("text", text)
-    return out.select(*docs.columns, n_lines, n_removed)
+    out = out.withColumn(removed, F.coalesce(F.filter(gone, lambda i: i < F.col(n_lines)), F.array().cast("array<int>")))
+    out = out.withColumn(n_removed, F.size(removed)).withColumn("text", text)
+    return out.select(*docs.columns, n_lines, n_removed, removed), n_lines, n_removed, removed
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"))
+    """Every document's cleaned text and the positions that went from it."""
+    out, n_lines, n_removed, removed = _cleaned(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", F.col(n_lines).cast("long").alias("n_lines"), F.col(n_removed).cast("long").alias("n_removed"), F.col(removed).alias("removed"))
