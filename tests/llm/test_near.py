@@ -112,3 +112,14 @@ def test_line_dedup_query_returns_the_rebuilt_text(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed, r.removed) for r in op3_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: (rows[0][1], 2, 0, []), 2: ("other\n", 3, 1, [1]), 3: (None, 0, 0, [])}
+
+
+def test_line_dedup_of_null_and_shared_ids(spark):
+    rows = [(None, "alpha one\nsame line here"), (None, "beta one\nsame line here"), (None, "same line here\nonly in this one"), (7, "same line here"), (8, "shared start\nq r s"), (8, "shared start\nt u v"), (9, "q r s\nnew")]
+    got = [(r.doc_id, r.text) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    lines = sorted(x for _, t in got for x in t.split("\n") if x)
+    assert lines == sorted(["alpha one", "beta one", "same line here", "only in this one", "shared start", "q r s", "t u v", "new"])
+    # A row repeated as a whole is one document, also without an id.
+    twice = [(None, "a b c\na b c"), (None, "a b c\na b c"), (None, "a b c\nd")]
+    got = sorted(r.text for r in dedup_lines(spark.createDataFrame(twice, "doc_id long, text string")).collect())
+    assert got in (["a b c", "a b c", "d"], ["", "", "a b c\nd"])

@@ -54,25 +54,25 @@ def _ordered(tokens: Column, ranks: Column) -> Column:
 
 
 def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(d, removed): for each id of ``docs`` (doc_id, text) with lines to remove,
-    the sorted positions of those. See ``dedup_lines``."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("d"), F.col("text").cast("string").alias("text"))
-    lines = docs.select("d", F.posexplode(F.split("text", "\n")).alias("p", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    """(d, c, removed): for each id and text hash of ``docs`` (doc_id, text) with lines
+    to remove, the sorted positions of those. See ``dedup_lines``."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(F.col("text").cast("string")).alias("c"), F.col("text").cast("string").alias("text"))
+    lines = docs.select("d", "c", F.posexplode(F.split("text", "\n")).alias("p", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     name = F.unhex(F.md5(F.lower("line")))
-    every = stored(lines.select("d", "p", name.alias("h")), "lines")
-    firsts = stored(every.groupBy("h").agg(F.min(F.struct("d", "p")).alias("at")).select("h", "at.d", "at.p"), "firsts")
+    every = stored(lines.select("d", "c", "p", name.alias("h")), "lines")
+    firsts = stored(every.groupBy("h").agg(F.min(F.struct("d", "c", "p")).alias("at")).select("h", "at.d", "at.c", "at.p"), "firsts")
 
     ranks = _rarity(docs, words)
-    ordered = _with_tokens(lines, words).select("d", "p", name.alias("h"), _ordered(F.col("tokens"), ranks).alias("tokens"))
+    ordered = _with_tokens(lines, words).select("d", "c", "p", name.alias("h"), _ordered(F.col("tokens"), ranks).alias("tokens"))
     n = F.size("tokens")
     prefix = F.slice("tokens", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1)
-    slim = ordered.select("h", F.struct("d", "p", n.alias("n"), prefix.alias("prefix")).alias("x")).groupBy("h").agg(F.min("x").alias("x"))
-    spread = stored(slim.select("x.d", "x.p", "x.n", F.posexplode("x.prefix").alias("i", "t")), "prefixes")
+    slim = ordered.select("h", F.struct("d", "c", "p", n.alias("n"), prefix.alias("prefix")).alias("x")).groupBy("h").agg(F.min("x").alias("x"))
+    spread = stored(slim.select("x.d", "x.c", "x.p", "x.n", F.posexplode("x.prefix").alias("i", "t")), "prefixes")
     # A token that only one line has in its prefix goes at once.
     met = spread.groupBy("t").agg(F.count("*").alias("m")).where("m > 1").select("t")
     shared = stored(spread.join(met, "t"), "shared")
-    first = shared.groupBy("t").agg(F.min(F.struct("d", "p", "n", "i")).alias("first"))
-    starred = shared.join(first.select("t", F.col("first.d").alias("fd"), F.col("first.p").alias("fp"), F.col("first.n").alias("fn"), F.col("first.i").alias("fi")), "t")
+    first = shared.groupBy("t").agg(F.min(F.struct("d", "c", "p", "n", "i")).alias("first"))
+    starred = shared.join(first.select("t", F.col("first.d").alias("fd"), F.col("first.c").alias("fc"), F.col("first.p").alias("fp"), F.col("first.n").alias("fn"), F.col("first.i").alias("fi")), "t")
 
     def can_reach(n1: str, i1: str, n2: str, i2: str) -> Column:
         need = f"({percent} * (cast({n1} as long) + {n2})) / {100 + percent}.0"  # overlap that the threshold asks for
@@ -80,48 +80,49 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     # First each line against the earliest of each of its prefix tokens, which
     # settles a group of near copies in as many pairs as it has lines.
-    star = starred.where("d <> fd or p <> fp").where(can_reach("n", "i", "fn", "fi")).select(F.col("fd").alias("d1"), F.col("fp").alias("p1"), F.col("d").alias("d2"), F.col("p").alias("p2")).distinct()
+    star = starred.where("d <> fd or c <> fc or p <> fp").where(can_reach("n", "i", "fn", "fi")).select(F.col("fd").alias("d1"), F.col("fc").alias("c1"), F.col("fp").alias("p1"), F.col("d").alias("d2"), F.col("c").alias("c2"), F.col("p").alias("p2")).distinct()
     star = stored(star, "star")
-    wanted = stored(shared.select("d", "p").distinct().join(firsts, ["d", "p"]), "wanted")
+    wanted = stored(shared.select("d", "c", "p").distinct().join(firsts, ["d", "c", "p"]), "wanted")
     sets = stored(
         _with_tokens(
-            docs.join(wanted.select("d").distinct(), "d", "left_semi").select("d", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-            .select("d", "p", name.alias("h"), "line").join(wanted, ["d", "p", "h"], "left_semi"), words,
-        ).select("d", "p", "h", "tokens").dropDuplicates(["h"]), "sets",
+            docs.join(wanted.select("d", "c").distinct(), ["d", "c"], "left_semi").select("d", "c", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+            .select("d", "c", "p", name.alias("h"), "line").join(wanted, ["d", "c", "p", "h"], "left_semi"), words,
+        ).select("d", "c", "p", "h", "tokens").dropDuplicates(["h"]), "sets",
     )
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Names of the later lines of pairs that reach the threshold."""
-        a, b = sets.toDF("d1", "p1", "h1", "x"), sets.toDF("d2", "p2", "h2", "y")
-        both = pairs.join(a, ["d1", "p1"]).join(b, ["d2", "p2"])
+        a, b = sets.toDF("d1", "c1", "p1", "h1", "x"), sets.toDF("d2", "c2", "p2", "h2", "y")
+        both = pairs.join(a, ["d1", "c1", "p1"]).join(b, ["d2", "c2", "p2"])
         common = F.size(F.array_intersect("x", "y"))
-        return both.where("h1 <> h2").where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select(F.col("h2").alias("h"), F.col("d2").alias("d"), F.col("p2").alias("p")).distinct()
+        return both.where("h1 <> h2").where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select(F.col("h2").alias("h"), F.col("d2").alias("d"), F.col("c2").alias("c"), F.col("p2").alias("p")).distinct()
 
     gone = stored(verified(star), "gone")
     # Then what is left against all earlier lines that share a prefix token.
-    left = shared.select("d", "p", "n", "i", "t").join(gone.select("d", "p"), ["d", "p"], "left_anti")
-    earlier = shared.select(F.col("t"), F.col("d").alias("d1"), F.col("p").alias("p1"), F.col("n").alias("n1"), F.col("i").alias("i1"))
-    rest = left.join(earlier, "t").where("d1 < d or (d1 = d and p1 < p)").where(can_reach("n", "i", "n1", "i1"))
-    rest = rest.select("d1", "p1", F.col("d").alias("d2"), F.col("p").alias("p2")).distinct().join(star, ["d1", "p1", "d2", "p2"], "left_anti")
+    left = shared.select("d", "c", "p", "n", "i", "t").join(gone.select("d", "c", "p"), ["d", "c", "p"], "left_anti")
+    earlier = shared.select(F.col("t"), F.col("d").alias("d1"), F.col("c").alias("c1"), F.col("p").alias("p1"), F.col("n").alias("n1"), F.col("i").alias("i1"))
+    rest = left.join(earlier, "t").where("d1 < d or (d1 = d and (c1 < c or (c1 = c and p1 < p)))").where(can_reach("n", "i", "n1", "i1"))
+    rest = rest.select("d1", "c1", "p1", F.col("d").alias("d2"), F.col("c").alias("c2"), F.col("p").alias("p2")).distinct().join(star, ["d1", "c1", "p1", "d2", "c2", "p2"], "left_anti")
     gone = stored(gone.union(verified(rest)).select("h").distinct().withColumn("near", F.lit(True)), "gone")
 
-    judged = every.join(firsts.toDF("h", "fd", "fp"), "h").join(gone, "h", "left")
-    out = judged.where("near or d <> fd or p <> fp").select("d", "p").distinct()
-    return stored(out.groupBy("d").agg(F.sort_array(F.collect_list("p")).alias("removed")), "marks")
+    judged = every.join(firsts.toDF("h", "fd", "fc", "fp"), "h").join(gone, "h", "left")
+    out = judged.where("near or d <> fd or c <> fc or p <> fp").select("d", "c", "p").distinct()
+    return stored(out.groupBy("d", "c").agg(F.sort_array(F.collect_list("p")).alias("removed")), "marks")
 
 
 def dedup_lines(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with its text cleaned of repeated lines; ``n_lines`` and
     ``n_removed`` are added (names lengthened by _ where they are taken).
 
-    Lines end at line feeds and stand in the order of (doc_id, position), null
-    ids first. A line goes if an earlier line has a Jaccard similarity of at least
+    Lines end at line feeds and stand in the order of (doc_id, hash of the text,
+    position), null ids first. A line goes if an earlier line has a Jaccard similarity of at least
     ``percent`` / 100 between the sets of lower-cased ``words``-word shingles
     (fewer words: the whole sequence as one), equal lines included; whether the
     earlier one is itself removed doesn't matter. Lines without words stay. A null
-    text stays null and has no lines. Rows that repeat a doc_id count as one
-    document: what equals itself at the same place is no repetition, and a
-    position removed from one is removed from all. Empty tables give empty ones.
+    text stays null and has no lines. Rows that repeat both doc_id (null
+    too) and text count as one document: what equals itself at the same place is
+    no repetition, and a position removed from one is removed from all. Different
+    texts of one doc_id, or without one, are documents of their own. Empty tables give empty ones.
 
     Scale: equal lines are collapsed by their 128-bit hash first; only prefixes
     (about a fifth of the tokens) are exchanged, and a hot group of similar lines
@@ -136,11 +137,11 @@ def _cleaned(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFr
     """The result of ``dedup_lines`` with the sorted positions of the removed lines,
     and the names of the added columns."""
     marks = line_marks(docs, words, percent)
-    d = free_name(docs, "d")
-    marks = marks.toDF(d, f"{d}_removed")
+    d, c = free_name(docs, "d"), free_name(docs, "c")
+    marks = marks.toDF(d, c, f"{d}_removed")
     n_lines, n_removed, removed = (free_name(docs, x) for x in ("n_lines", "n_removed", "removed"))
-    out = docs.withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn(n_lines, F.coalesce(F.size(F.split("text", "\n")), F.lit(0)))
-    out = out.withColumn(n_lines, F.when(F.col("text").isNull(), 0).otherwise(F.col(n_lines))).join(marks, d, "left")
+    out = docs.withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn(c, F.xxhash64(F.col("text").cast("string"))).withColumn(n_lines, F.coalesce(F.size(F.split("text", "\n")), F.lit(0)))
+    out = out.withColumn(n_lines, F.when(F.col("text").isNull(), 0).otherwise(F.col(n_lines))).join(marks, [d, c], "left")
     gone = F.col(f"{d}_removed")
     lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
