@@ -12,8 +12,8 @@ from tidegauge import queries as core
 from tidegauge.sources.line_protocol import parsed
 
 NAMES = (
-    "agg_by_time_tag", "agg_basic_global", "agg_by_time", "agg_by_tag", "agg_group_all", "raw_desc_limit_offset", "raw_star_limit", "where_field_ops", "where_regex",
-    "first_last", "percentile", "mode", "derivative", "moving_average", "cumulative_sum", "top_by_tag", "fill_linear", "subquery_tags", "lww_merge", "show_series",
+    "agg_by_time_tag_whole", "agg_basic_global", "agg_by_time", "agg_by_tag", "agg_group_all", "raw_desc_limit_offset", "raw_star_limit", "where_field_ops", "where_regex",
+    "first_last", "percentile", "mode", "derivative_whole", "moving_average", "cumulative_sum", "top_by_tag", "fill_linear_whole", "subquery_tags", "lww_merge", "show_series",
 )
 
 

@@ -31,3 +31,14 @@ def test_query(spark, con, name):
     assert sorted(columns) == sorted(df.columns)
     mine = sorted((tuple(cell(r[c]) for c in columns) for r in df.collect()), key=str)
     assert mine == sorted((tuple(cell(x) for x in r) for r in want.fetchall()), key=str)
+
+
+WHOLE = "fill_null fill_zero fill_previous fill_linear difference nn_difference derivative nn_derivative integral_running elapsed math_scalars round_half_even multi_transform raw_fields agg_by_time_tag"
+
+
+@pytest.mark.parametrize("name", WHOLE.split())
+def test_whole_table_is_queried(name):
+    """No filter on a tag, and none on time but the fill grid over all of it."""
+    text, sql = core.TEXTS[f"{name}_whole"]
+    assert "user_id =" not in text and "event_type =" not in text and core.WEEK not in text and core.DAY_ONE not in text
+    assert ("WHERE" in text) == name.startswith("fill") and core.WEEK_SQL not in sql and core.DAY_ONE_SQL not in sql

@@ -133,6 +133,31 @@ TEXTS |= {
 from j window p as (order by b rows unbounded preceding), f as (order by b rows between current row and unbounded following)) select b as time, '7' as user_id, round(case when there then v else a + (z - a) * (b - ta) / (tz - ta) end, 6) as mean_value from n"""),
 }
 
+# The same operators over the whole table: all rows, all series, the whole line.
+_ALL = "time >= '2024-01-01T00:00:00Z' AND time <= '2024-01-31T00:00:00Z'"
+_FILL_ALL = f"SELECT mean(value) FROM events WHERE {_ALL} GROUP BY time(6h), event_type, user_id fill({{}})"
+_GRID_ALL = f"""with h as (select {_b(6 * HOUR)} as b, event_type, user_id, avg(value) as v from {E} group by all), s as (select distinct event_type, user_id from h),
+g as (select unnest(range(1704067200000000000, 1706659200000000001, {6 * HOUR})) as b), j as (select b, event_type, user_id, h.v, h.v is not null as there from s cross join g left join h using (b, event_type, user_id))"""
+_BACK, _AHEAD = "partition by event_type, user_id order by b rows unbounded preceding", "partition by event_type, user_id order by b rows between current row and unbounded following"
+TEXTS |= {
+    "raw_fields_whole": ("SELECT value, k FROM events", f"select t as time, event_type, user_id, round(value, 6) as value, k from {E}"),
+    "agg_by_time_tag_whole": ("SELECT mean(value), max(value), count(value) FROM events GROUP BY time(1d), event_type", f"select {_b(DAY)} as time, event_type, round(avg(value), 6) as mean_value, max(value) as max_value, count(value) as count_value from {E} group by 1, 2"),
+    "difference_whole": ("SELECT difference(value) FROM events", f"{_line('true')} select t as time, round(v - pv, 6) as difference_value from l where pv is not null"),
+    "nn_difference_whole": ("SELECT non_negative_difference(value) FROM events", f"{_line('true')} select t as time, round(v - pv, 6) as non_negative_difference_value from l where v - pv >= 0"),
+    "derivative_whole": ("SELECT derivative(value, 1m) FROM events", f"{_line('true')} select t as time, round((v - pv) * {MINUTE}.0::double / (t - pt), 6) as derivative_value_1m from l where t > pt"),
+    "nn_derivative_whole": ("SELECT non_negative_derivative(value) FROM events", f"{_line('true')} select t as time, round((v - pv) * 1000000000.0::double / (t - pt), 6) as non_negative_derivative_value from l where t > pt and v - pv >= 0"),
+    "integral_running_whole": ("SELECT integral(value, 1h) FROM events", f"{_line('true')} select t as time, round(sum((v + pv) / 2 * (t - pt) / {HOUR}.0::double) over (order by t, key rows unbounded preceding), 6) as integral_value_1h from l where pt is not null"),
+    "elapsed_whole": ("SELECT elapsed(value) FROM events", f"{_line('true')} select t as time, round((t - pt) / 1e9, 6) as elapsed_value from l where pt is not null"),
+    "math_scalars_whole": ("SELECT abs(value), ceil(value), floor(value), sqrt(value) FROM events", f"select t as time, abs(value) as abs_value, ceil(value) as ceil_value, floor(value) as floor_value, round(sqrt(value), 6) as sqrt_value from {E}"),
+    "round_half_even_whole": ("SELECT round(value), round(value, 1) FROM events", f"select t as time, cast(round_even(value, 0) as double) as round_value, cast(round_even(cast(value as decimal(18, 4)), 1) as double) as round_value_1 from {E}"),
+    "multi_transform_whole": ("SELECT difference(value), cumulative_sum(k) FROM events", f"with l as (select t, value - lag(value) over w as d, sum(k) over w as s from (select *, concat('event_type=', event_type, ',user_id=', user_id) as key from {E}) window w as (order by t, key rows unbounded preceding)) select t as time, round(d, 6) as difference_value, s::double as cumulative_sum_k from l"),
+    "fill_null_whole": (_FILL_ALL.format("null"), f"{_GRID_ALL} select b as time, event_type, user_id, round(v, 6) as mean_value from j"),
+    "fill_zero_whole": (_FILL_ALL.format("0"), f"{_GRID_ALL} select b as time, event_type, user_id, round(coalesce(v, 0), 6) as mean_value from j"),
+    "fill_previous_whole": (_FILL_ALL.format("previous"), f"{_GRID_ALL} select b as time, event_type, user_id, round(last_value(v ignore nulls) over ({_BACK}), 6) as mean_value from j"),
+    "fill_linear_whole": (_FILL_ALL.format("linear"), f"""{_GRID_ALL}, n as (select *, last_value(v ignore nulls) over p as a, last_value(case when there then b end ignore nulls) over p as ta, first_value(v ignore nulls) over f as z, first_value(case when there then b end ignore nulls) over f as tz
+from j window p as ({_BACK}), f as ({_AHEAD})) select b as time, event_type, user_id, round(case when there then v else a + (z - a) * (b - ta) / (tz - ta) end, 6) as mean_value from n"""),
+}
+
 
 # --- queries that write ----------------------------------------------------
 
