@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm import quality
-from tidegauge.llm.common import free_name, table
+from tidegauge.llm.common import free_name, stored, table
 from tidegauge.llm.decontamination import contamination
 from tidegauge.llm.lines import dedup_lines
-from tidegauge.llm.minhash import near_duplicates
+from tidegauge.llm.minhash import grouped
 from tidegauge.llm.mixing import mix
 
 
@@ -33,9 +33,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates the document of smallest id stays."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates one row stays: that of smallest id (null ids
+    last), then of smallest text hash, and one of the rows that repeat both. Texts
+    without words are in no group and stay."""
+    keys = grouped(docs).where("group is not null").groupBy("group", "doc_id", "c").agg(F.count("*").alias("n"))
+    best = keys.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "c")).alias("best"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("c") == F.col("best.c"))
+    judged = stored(keys.join(best, "group").select("doc_id", "c", "n", stays.alias("stays")).where("not stays or n > 1"), "judged").toDF("_id", "_c", "n", "stays")
+
+    c = free_name(docs, "c")
+    rows = docs.withColumn(c, F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(c) == F.col("_c"))
+    gone, repeated = judged.where("not stays"), judged.where("stays")
+    if not repeated.head(1):
+        return rows.join(gone, same, "left_anti").select(*docs.columns)
+    once = rows.join(judged, same, "left_anti")
+    return once.union(rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", c])).select(*docs.columns)
 
 
 def free_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

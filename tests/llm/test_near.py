@@ -123,3 +123,15 @@ def test_line_dedup_of_null_and_shared_ids(spark):
     twice = [(None, "a b c\na b c"), (None, "a b c\na b c"), (None, "a b c\nd")]
     got = sorted(r.text for r in dedup_lines(spark.createDataFrame(twice, "doc_id long, text string")).collect())
     assert got in (["a b c", "a b c", "d"], ["", "", "a b c\nd"])
+
+
+def test_one_row_of_each_group_stays(spark):
+    from corpus_pipeline import one_of_each_group
+
+    a, b, other = "one two three four five six", "red blue green cat dog sun", "a text that only stands here once"
+    rows = [(None, a, "x"), (None, a, "y"), (None, b, "x"), (None, b, "x"), (3, b, "x"), (3, b, "x"), (4, b, "x"), (4, other, "x"), (5, "", "x"), (None, None, "x"), (6, "seven eight", "x"), (6, "seven eight", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(((r.doc_id, r.text) for r in one_of_each_group(spark, df, "").collect()), key=str)
+    assert got == sorted([(None, a), (3, b), (4, other), (5, ""), (None, None), (6, "seven eight")], key=str)
+    plain = spark.createDataFrame([(1, a, "x"), (2, a, "x"), (None, b, "x")], "doc_id long, text string, source string")
+    assert sorted((r.text for r in one_of_each_group(spark, plain, "").collect())) == [a, b]

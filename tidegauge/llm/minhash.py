@@ -72,7 +72,7 @@ def _sketch(shingle_words: int):
         shingles, offsets = distinct_shingles(*string_buffers(batch.column(1)), shingle_words)
         keys = band_keys(signatures(shingles, offsets))
         return {
-            "doc_id": batch.column(0), "n_shingles": np.diff(offsets), "node": fingerprints(shingles, offsets),
+            "doc_id": batch.column(0), "c": batch.column(2), "n_shingles": np.diff(offsets), "node": fingerprints(shingles, offsets),
             "bands": _list_array(keys.ravel(), np.arange(len(keys) + 1) * BANDS),
         }
 
@@ -130,9 +130,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     copies in as many pairs as it has members. Bucket members that are then still in
     different components go through an exact prefix-filter join.
     """
+    return grouped(docs, shingle_words, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def grouped(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The result of ``near_duplicates`` with ``c``, a hash of the row's text, and
+    ``group``, which names its group also where no row of it has an id; null for
+    texts without shingles."""
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketched = stored(map_batches(slim, _sketch(shingle_words), f"doc_id {kind}, n_shingles long, node binary, bands array<long>", 1), "sketches")
+    sketched = stored(map_batches(slim.withColumn("c", F.xxhash64("text")), _sketch(shingle_words), f"doc_id {kind}, c long, n_shingles long, node binary, bands array<long>", 1), "sketches")
     classes = stored(sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("smallest"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
 
     members = classes.select(F.explode("bands").alias("key"), "node")
@@ -167,10 +174,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         groups = components(links)
 
     smallest = groups.join(classes.select("node", "smallest"), "node").groupBy("component").agg(F.min("smallest").alias("least"))
-    names = classes.select("node", "smallest").join(groups.join(smallest, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "smallest").alias("component_id"))
-    out = sketched.select("doc_id", "n_shingles", "node").join(names, "node", "left")
+    names = classes.select("node", "smallest").join(groups.join(smallest, "component").select("node", "least", "component"), "node", "left").select("node", F.coalesce("least", "smallest").alias("component_id"), F.coalesce("component", "node").alias("group"))
+    out = sketched.select("doc_id", "c", "n_shingles", "node").join(names, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "c", "group")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
