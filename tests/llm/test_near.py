@@ -125,6 +125,27 @@ def test_line_dedup_of_null_and_shared_ids(spark):
     assert got in (["a b c", "a b c", "d"], ["", "", "a b c\nd"])
 
 
+def test_line_dedup_of_string_ids_and_a_very_common_line(spark):
+    rng = random.Random(8)
+    common = "this very common line stands in every one of these documents"
+    base = words(rng, 30)
+    rows = [(f"id{i:03d}", f"{common}\n{words(rng, 12)}\n{base if i % 3 else base + ' tail'}") for i in range(200)]
+    df = spark.createDataFrame(rows * 2, "doc_id string, text string").repartition(5)
+    got = {(r.doc_id, r.text) for r in dedup_lines(df).collect()}
+    assert got == set(brute_lines(rows).items()) and dedup_lines(df).count() == 400
+
+
+def test_line_dedup_leaves_only_the_last_table(spark, tmp_path):
+    import os
+
+    from tidegauge.llm.common import shared_dir
+
+    root = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    dedup_lines(spark.createDataFrame([(1, "a b c\na b c")], "doc_id long, text string")).collect()
+    assert [x.split("-")[0] for x in set(os.listdir(root)) - before] == ["marks"]
+
+
 def test_one_row_of_each_group_stays(spark):
     from corpus_pipeline import one_of_each_group
 

@@ -19,10 +19,13 @@ WORD_REGEX = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a new
-    temporary folder where that setting is unset (single-machine tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset
+    and Spark runs in one process, a new temporary folder; on a cluster an error, as
+    every executor would write to its own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidegauge-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -31,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends there, so
     a lost executor costs a re-read and no recomputation, and the shuffle files of
-    the write are not needed any more."""
+    the write are not needed any more. ``discard`` removes the table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -41,7 +44,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(cleanup, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``stored`` wrote. Only for those whose readers have all been
+    written themselves; a lazy frame over one of them would lose its input."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of the bitmaps that ``marked`` sends out, 64 bits each.
+BITMAP_ROWS = 1 << 18
+
+
+def marked(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` (a hash) may be one of ``wanted``'s, and few others:
+    a filter that loses none and goes before a join on ``key``, so that the join's
+    shuffle carries few rows in vain. The bitmap that is broadcast has BITMAP_ROWS rows
+    at most, whatever the input; with many more keys than bits it lets all rows pass."""
+    k, bits = free_name(df, "k"), free_name(df, "bits")
+    place = F.shiftright(key, 6).bitwiseAND(F.lit(BITMAP_ROWS - 1))
+    bitmap = wanted.groupBy(place.alias(k)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({key} & 63 as int))")).alias(bits))
+    return df.withColumn(k, place).join(F.broadcast(bitmap), k).where(f"shiftright({bits}, cast({key} & 63 as int)) & 1 = 1").drop(k, bits)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

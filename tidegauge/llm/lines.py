@@ -4,6 +4,10 @@ DataFrame functions alone.
 Tokens of a line are its 5-word shingles, ordered by rarity. Lines that share a
 token of their prefixes are paired if the length and positional filters let them
 reach the threshold, and are verified on their whole token sets.
+
+A row of ``documents`` is known by its id (d) and the hash of its text (c), a line by
+two hashes of its lower-cased text (u, v) of 64 bits each. Candidates carry u alone;
+where two lines share it, both are verified.
 """
 
 from __future__ import annotations
@@ -11,12 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, stored, table
+from .common import discard, free_name, marked, stored, table
 
 #: Counters of the rarity sketch. The order they give is only a matter of speed.
 SKETCH = 1 << 16
 _SPACE = r"[\x20\x09-\x0D]+"
-_NO_ID = -(1 << 63)
 
 
 def _shingle(at: Column, words: int) -> Column:
@@ -25,19 +28,18 @@ def _shingle(at: Column, words: int) -> Column:
 
 
 def _with_tokens(lines: DataFrame, words: int) -> DataFrame:
-    """Column ``tokens`` from ``line``: distinct hashes of its shingles; of its
-    whole sequence if it is shorter. The words are a column of their own, else
-    every shingle would split the line anew."""
-    lines = lines.withColumn("w", F.array_remove(F.split(F.lower("line"), _SPACE), ""))
+    """Column ``tokens`` from ``low``: distinct hashes of its shingles; of its whole
+    sequence if it is shorter. The words are a column of their own, else every shingle
+    would split the line anew."""
+    lines = lines.withColumn("w", F.array_remove(F.split("low", _SPACE), ""))
     last = F.greatest(F.size("w") - words, F.lit(0))
-    shingles = F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: _shingle(i, words)))
-    return lines.withColumn("tokens", F.when(F.size("w") > 0, shingles).otherwise(F.array().cast("array<long>"))).drop("w")
+    return lines.withColumn("tokens", F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: _shingle(i, words)))).drop("w", "low")
 
 
-def _rarity(docs: DataFrame, words: int) -> Column:
+def _rarity(lines: DataFrame, words: int) -> Column:
     """An array of SKETCH ranks (0-127) that rise with how often tokens of that
     counter occur in all lines."""
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.array_remove(F.split(F.lower("line"), _SPACE), "").alias("w"))
+    lines = lines.select(F.array_remove(F.split("low", _SPACE), "").alias("w"))
     # One row for each place, so that hashing stays in generated code. explode_outer:
     # explode's filter on the size would be pushed below the split and run it again.
     places = lines.select("w", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("w") - words, F.lit(0)))).alias("i"))
@@ -49,65 +51,86 @@ def _rarity(docs: DataFrame, words: int) -> Column:
 
 
 def _ordered(tokens: Column, ranks: Column) -> Column:
-    """Tokens as numbers that sort by rarity."""
-    return F.sort_array(F.transform(tokens, lambda t: F.shiftleft(F.get(ranks, F.pmod(t, F.lit(SKETCH)).cast("int")), 56).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1)))))
+    """Tokens as numbers that sort by rarity. None is null, so that Spark sorts them as
+    plain numbers."""
+
+    def number(token: Column) -> Column:
+        rank = F.coalesce(F.get(ranks, F.pmod(token, F.lit(SKETCH)).cast("int")), F.lit(0))
+        return F.shiftleft(rank, 56).bitwiseOR(token.bitwiseAND(F.lit((1 << 56) - 1)))
+
+    return F.sort_array(F.transform(tokens, number))
+
+
+def _row_hash() -> Column:
+    """128 bits of a row's text."""
+    return F.unhex(F.md5(F.col("text").cast("string")))
 
 
 def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(d, c, removed): for each id and text hash of ``docs`` (doc_id, text) with lines
     to remove, the sorted positions of those. See ``dedup_lines``."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(F.col("text").cast("string")).alias("c"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").alias("d"), _row_hash().alias("c"), F.col("text").cast("string").alias("text"))
     lines = docs.select("d", "c", F.posexplode(F.split("text", "\n")).alias("p", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    name = F.unhex(F.md5(F.lower("line")))
-    every = stored(lines.select("d", "c", "p", name.alias("h")), "lines")
-    firsts = stored(every.groupBy("h").agg(F.min(F.struct("d", "c", "p")).alias("at")).select("h", "at.d", "at.c", "at.p"), "firsts")
-
-    ranks = _rarity(docs, words)
-    ordered = _with_tokens(lines, words).select("d", "c", "p", name.alias("h"), _ordered(F.col("tokens"), ranks).alias("tokens"))
+    lines = lines.select("d", "c", "p", F.lower("line").alias("low"))
+    u, v = F.xxhash64("low").alias("u"), F.xxhash64(F.lit(7), "low").alias("v")
+    every = stored(lines.select("d", "c", "p", u, v), "lines")
+    firsts = stored(every.groupBy("u", "v").agg(F.min(F.struct("d", "c", "p")).alias("o"), F.count("*").alias("times")), "firsts")
+
+    # Prefixes, and the tokens that the prefixes of different lines share.
+    ranks = _rarity(lines.select("low"), words)
+    ordered = _with_tokens(lines.select(u, "low"), words).select("u", _ordered(F.col("tokens"), ranks).alias("tokens"))
     n = F.size("tokens")
     prefix = F.slice("tokens", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1)
-    slim = ordered.select("h", F.struct("d", "c", "p", n.alias("n"), prefix.alias("prefix")).alias("x")).groupBy("h").agg(F.min("x").alias("x"))
-    spread = stored(slim.select("x.d", "x.c", "x.p", "x.n", F.posexplode("x.prefix").alias("i", "t")), "prefixes")
-    # A token that only one line has in its prefix goes at once.
-    met = spread.groupBy("t").agg(F.count("*").alias("m")).where("m > 1").select("t")
-    shared = stored(spread.join(met, "t"), "shared")
-    first = shared.groupBy("t").agg(F.min(F.struct("d", "c", "p", "n", "i")).alias("first"))
-    starred = shared.join(first.select("t", F.col("first.d").alias("fd"), F.col("first.c").alias("fc"), F.col("first.p").alias("fp"), F.col("first.n").alias("fn"), F.col("first.i").alias("fi")), "t")
+    prefixes = stored(ordered.select("u", n.alias("n"), F.posexplode(prefix).alias("i", "t")), "prefixes")
+    met = stored(prefixes.groupBy("t").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high").select("t"), "met")
+    shared = stored(marked(prefixes, met, "t").join(met, "t").distinct(), "shared")
+    discard(prefixes, met)
+    names = stored(shared.select("u").distinct().join(firsts.select("u", "v", "o"), "u"), "names")
+    members = stored(shared.join(names, "u"), "members")
+    discard(shared)
 
     def can_reach(n1: str, i1: str, n2: str, i2: str) -> Column:
         need = f"({percent} * (cast({n1} as long) + {n2})) / {100 + percent}.0"  # overlap that the threshold asks for
         return F.expr(f"100 * cast({n1} as long) >= {percent} * cast({n2} as long) and 100 * cast({n2} as long) >= {percent} * cast({n1} as long) and 1 + least({n1} - 1 - {i1}, {n2} - 1 - {i2}) >= {need} - 1e-9")
 
-    # First each line against the earliest of each of its prefix tokens, which
-    # settles a group of near copies in as many pairs as it has lines.
-    star = starred.where("d <> fd or c <> fc or p <> fp").where(can_reach("n", "i", "fn", "fi")).select(F.col("fd").alias("d1"), F.col("fc").alias("c1"), F.col("fp").alias("p1"), F.col("d").alias("d2"), F.col("c").alias("c2"), F.col("p").alias("p2")).distinct()
-    star = stored(star, "star")
-    wanted = stored(shared.select("d", "c", "p").distinct().join(firsts, ["d", "c", "p"]), "wanted")
-    sets = stored(
-        _with_tokens(
-            docs.join(wanted.select("d", "c").distinct(), ["d", "c"], "left_semi").select("d", "c", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-            .select("d", "c", "p", name.alias("h"), "line").join(wanted, ["d", "c", "p", "h"], "left_semi"), words,
-        ).select("d", "c", "p", "h", "tokens").dropDuplicates(["h"]), "sets",
-    )
-
     def verified(pairs: DataFrame) -> DataFrame:
-        """Names of the later lines of pairs that reach the threshold."""
-        a, b = sets.toDF("d1", "c1", "p1", "h1", "x"), sets.toDF("d2", "c2", "p2", "h2", "y")
-        both = pairs.join(a, ["d1", "c1", "p1"]).join(b, ["d2", "c2", "p2"])
+        """(u, v) of the later lines of ``pairs`` (a, b) that reach the threshold. Sets
+        are fetched for the lines of these pairs alone."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct().join(names, "u").select(F.xxhash64("o.d", "o.c", "o.p").alias("place"), "u", "v", "o")
+        wanted = stored(wanted, "wanted")
+        # A line is read where it stands first, so one that stands in very many rows is
+        # fetched once; rows that repeat both id and text are one.
+        texts = marked(lines.select(F.xxhash64("d", "c", "p").alias("place"), u, v, "low"), wanted, "place").dropDuplicates(["place", "u", "v"])
+        sets = stored(_with_tokens(texts.join(wanted, ["place", "u", "v"]).select("u", "v", "o", "low"), words), "sets")
+        both = pairs.join(sets.toDF("a", "va", "oa", "x"), "a").join(sets.toDF("b", "vb", "ob", "y"), "b")
         common = F.size(F.array_intersect("x", "y"))
-        return both.where("h1 <> h2").where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select(F.col("h2").alias("h"), F.col("d2").alias("d"), F.col("c2").alias("c"), F.col("p2").alias("p")).distinct()
-
-    gone = stored(verified(star), "gone")
+        both = both.where("a <> b or va <> vb").where(100 * common >= percent * (F.size("x") + F.size("y") - common))
+        later = F.when(F.col("oa") < F.col("ob"), F.struct(F.col("b").alias("u"), F.col("vb").alias("v"))).otherwise(F.struct(F.col("a").alias("u"), F.col("va").alias("v")))
+        out = stored(both.select(later.alias("x")).select("x.*").distinct(), "gone")
+        discard(wanted, sets)
+        return out
+
+    # First each line against the earliest of each of its prefix tokens, which settles
+    # a group of near copies in as many pairs as it has lines.
+    first = members.groupBy("t").agg(F.min(F.struct("o", "u", "n", "i")).alias("x")).select("t", F.col("x.u").alias("a"), F.col("x.n").alias("na"), F.col("x.i").alias("ia"))
+    star = stored(members.join(first, "t").where("u <> a").where(can_reach("n", "i", "na", "ia")).select("a", F.col("u").alias("b")).distinct(), "star")
+    gone = verified(star)
     # Then what is left against all earlier lines that share a prefix token.
-    left = shared.select("d", "c", "p", "n", "i", "t").join(gone.select("d", "c", "p"), ["d", "c", "p"], "left_anti")
-    earlier = shared.select(F.col("t"), F.col("d").alias("d1"), F.col("c").alias("c1"), F.col("p").alias("p1"), F.col("n").alias("n1"), F.col("i").alias("i1"))
-    rest = left.join(earlier, "t").where("d1 < d or (d1 = d and (c1 < c or (c1 = c and p1 < p)))").where(can_reach("n", "i", "n1", "i1"))
-    rest = rest.select("d1", "c1", "p1", F.col("d").alias("d2"), F.col("c").alias("c2"), F.col("p").alias("p2")).distinct().join(star, ["d1", "c1", "p1", "d2", "c2", "p2"], "left_anti")
-    gone = stored(gone.union(verified(rest)).select("h").distinct().withColumn("near", F.lit(True)), "gone")
-
-    judged = every.join(firsts.toDF("h", "fd", "fc", "fp"), "h").join(gone, "h", "left")
-    out = judged.where("near or d <> fd or c <> fc or p <> fp").select("d", "c", "p").distinct()
-    return stored(out.groupBy("d", "c").agg(F.sort_array(F.collect_list("p")).alias("removed")), "marks")
+    left = members.join(gone, ["u", "v"], "left_anti").select("t", "o", F.col("u").alias("b"), "n", "i")
+    earlier = members.select("t", F.col("o").alias("oa"), F.col("u").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    rest = left.join(earlier, "t").where("oa < o and a <> b").where(can_reach("n", "i", "na", "ia")).select("a", "b").distinct()
+    rest = stored(rest.join(star, ["a", "b"], "left_anti"), "rest")
+    discard(members, star)
+    more = verified(rest)
+    discard(rest, names)
+
+    # Lines that stand once and are near no earlier one need not be looked up.
+    near = gone.union(more).distinct().withColumn("near", F.lit(True))
+    judged = firsts.join(near, ["u", "v"], "left").where("near or times > 1").select("u", "v", F.when(F.col("near").isNull(), F.col("o")).alias("stays"))
+    out = every.join(judged, ["u", "v"]).where("stays is null or stays <> struct(d, c, p)").select("d", "c", "p").distinct()
+    marks = stored(out.groupBy("d", "c").agg(F.sort_array(F.collect_list("p")).alias("removed")), "marks")
+    discard(every, firsts, gone, more)
+    return marks
 
 
 def dedup_lines(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -119,15 +142,17 @@ def dedup_lines(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     ``percent`` / 100 between the sets of lower-cased ``words``-word shingles
     (fewer words: the whole sequence as one), equal lines included; whether the
     earlier one is itself removed doesn't matter. Lines without words stay. A null
-    text stays null and has no lines. Rows that repeat both doc_id (null
-    too) and text count as one document: what equals itself at the same place is
-    no repetition, and a position removed from one is removed from all. Different
-    texts of one doc_id, or without one, are documents of their own. Empty tables give empty ones.
-
-    Scale: equal lines are collapsed by their 128-bit hash first; only prefixes
-    (about a fifth of the tokens) are exchanged, and a hot group of similar lines
-    is first held against its earliest line. A document's own positions are the
-    only thing that is gathered.
+    text stays null and has no lines. ``doc_id`` may be of any type that can be
+    ordered. Rows that repeat both doc_id (null too) and text count as one document:
+    what equals itself at the same place is no repetition, and a position removed from
+    one is removed from all. Different texts of one doc_id, or without one, are
+    documents of their own. Empty tables give empty ones.
+
+    Scale: only prefixes (about a fifth of the tokens) are stored and counted, and only
+    those that two lines share go further; token sets are fetched for the lines of
+    candidate pairs alone. A hot group of similar lines is first held against its
+    earliest line. Tables go as soon as their readers are written. A document's own
+    positions are the only thing that is gathered.
     """
     out, n_lines, n_removed, removed = _cleaned(docs, words, percent)
     return out.select(*docs.columns, n_lines, n_removed)
@@ -137,18 +162,16 @@ def _cleaned(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFr
     """The result of ``dedup_lines`` with the sorted positions of the removed lines,
     and the names of the added columns."""
     marks = line_marks(docs, words, percent)
-    d, c = free_name(docs, "d"), free_name(docs, "c")
-    marks = marks.toDF(d, c, f"{d}_removed")
+    c, lines, gone, own_id, own_c = (free_name(docs, x) for x in ("c", "lines", "gone", "_id", "_c"))
     n_lines, n_removed, removed = (free_name(docs, x) for x in ("n_lines", "n_removed", "removed"))
-    out = docs.withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn(c, F.xxhash64(F.col("text").cast("string"))).withColumn(n_lines, F.coalesce(F.size(F.split("text", "\n")), F.lit(0)))
-    out = out.withColumn(n_lines, F.when(F.col("text").isNull(), 0).otherwise(F.col(n_lines))).join(marks, [d, c], "left")
-    gone = F.col(f"{d}_removed")
-    lines = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    text = F.when(gone.isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    out = out.withColumn(removed, F.coalesce(F.filter(gone, lambda i: i < F.col(n_lines)), F.array().cast("array<int>")))
-    out = out.withColumn(n_removed, F.size(removed)).withColumn("text", text)
-    return out.select(*docs.columns, n_lines, n_removed, removed), n_lines, n_removed, removed
+    # Marks are small beside the texts, which so need not be sorted.
+    marks = marks.toDF(own_id, own_c, gone).hint("shuffle_hash")
+    out = docs.withColumn(c, _row_hash()).join(marks, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(c) == F.col(own_c)), "left")
+    out = out.withColumn(lines, F.split(F.col("text").cast("string"), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n"))
+    counts = {n_lines: F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)), removed: F.coalesce(gone, F.array().cast("array<int>")), n_removed: F.coalesce(F.size(gone), F.lit(0)), "text": text}
+    return out.withColumns(counts).select(*docs.columns, n_lines, n_removed, removed), n_lines, n_removed, removed
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
