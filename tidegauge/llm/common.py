@@ -251,14 +251,14 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], batch.schema.types[0]), pa.array([p[1] for p in pairs], batch.schema.types[1])], schema=batch.schema)
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (columns a, b); the component
     is its smallest node. Blocks are contracted by union-find, then large-star and
     small-star steps alternate, each storing its links, until nothing changes."""
     kind = links.schema["a"].dataType.simpleString()
     links = stored(links.where("a <> b").mapInArrow(_forest, f"a {kind}, b {kind}").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     previous = None
-    for _ in range(max_rounds):
+    while True:
         # Large star: every larger neighbour is hung on the smallest one around a node.
         both = links.union(links.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -266,7 +266,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         # Small star: a node and its smaller neighbours are hung on the smallest.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        links = stored(small, "links")
+        small = stored(small, "links")
+        discard(links)
+        links = small
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == previous:
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from .common import slices, table
 RATE = 0.1
 #: Characters of items held by one automaton; larger sets are searched in blocks.
 BLOCK_CHARS = 8_000_000
+ADDED = ("contaminated", "n_items", "item_ids", "least_distance")
 
 
 def normal(text: str | None) -> str:
@@ -139,7 +141,7 @@ class Matcher:
         return out
 
 
-_matchers: dict[int, Matcher] = {}
+_matchers: dict[str, Matcher] = {}  # of the worker's last block
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[object, str]]]:
@@ -159,7 +161,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
     and some passage of the document's whole text is at most rate * length, both
     lower-cased with white space collapsed. Null or empty texts contain nothing;
     null or empty items are in nothing; items with equal texts all count; an item
-    without an id shows as an empty one. Empty tables give no match.
+    without an id shows as an empty one. Rows that repeat each get the same answer, and
+    of several passages near one item the least distance counts. Empty tables give no
+    match; other columns pass unchanged.
 
     Every item is split into budget + 1 pieces; an automaton finds exact piece
     hits, and Myers' bit-parallel distance verifies the passage around each, from the
@@ -167,22 +171,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
     the items are broadcast, in blocks of at most BLOCK_CHARS characters (one pass
     over the documents for each block); no document is shuffled.
     """
-    added = {"contaminated": "boolean", "n_items": "long", "item_ids": "string", "least_distance": "long"}
-    kept = [c for c in docs.columns if c not in added]
+    kept = [c for c in docs.columns if c not in ADDED]
     out = docs.select(*kept).withColumn("contaminated", F.lit(False)).withColumn("n_items", F.lit(0).cast("long")).withColumn("item_ids", F.lit("")).withColumn("least_distance", F.lit(None).cast("long"))
     text_at = kept.index("text")
     for block in _blocks(benchmark.select("item_id", F.col("text").cast("string").alias("text"))):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, text_at=text_at) -> Iterator[pa.RecordBatch]:
-            key = id(shared)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, text_at=text_at, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             matcher = _matchers.get(key)
             if matcher is None:
                 _matchers.clear()
                 matcher = _matchers[key] = Matcher(shared.value, rate)
             for batch in batches:
                 for part in slices(batch, text_at, 8_000_000):
-                    had = part.select(list(added)).to_pydict()
+                    had = part.select(list(ADDED)).to_pydict()
                     for i, text in enumerate(part.column(text_at).to_pylist()):
                         if found := matcher.matches(text):
                             names = [x for x in had["item_ids"][i].split(",") if x] + ["" if (x := matcher.items[k].ident) is None else str(x) for k in found]
@@ -192,7 +194,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
                             least = min(found.values())
                             had["least_distance"][i] = least if had["least_distance"][i] is None else min(least, had["least_distance"][i])
                     columns = [part.column(c) for c in range(part.num_columns - 4)]
-                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array(had[c], batch.schema.field(c).type) for c in added)], schema=batch.schema)
+                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array(had[c], batch.schema.field(c).type) for c in ADDED)], schema=batch.schema)
 
         out = out.mapInArrow(run, out.schema)
     return out

@@ -22,6 +22,15 @@ SKETCH = 1 << 16
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
+def _words() -> Column:
+    """The words of ``low``, which has some. Single spaces are split at without a
+    pattern, which is faster; other lines are brought to that form."""
+    odd = F.startswith("low", F.lit(" ")) | F.endswith("low", F.lit(" "))
+    for x in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd |= F.contains("low", F.lit(x))
+    return F.split(F.when(odd, F.trim(F.regexp_replace("low", _SPACE, " "))).otherwise(F.col("low")), " ")
+
+
 def _shingle(at: Column, words: int) -> Column:
     """The hash of the words from ``at`` on; those past the line's end don't count."""
     return F.xxhash64(*(F.get("w", at + k) for k in range(words)))
@@ -31,22 +40,22 @@ def _with_tokens(lines: DataFrame, words: int) -> DataFrame:
     """Column ``tokens`` from ``low``: distinct hashes of its shingles; of its whole
     sequence if it is shorter. The words are a column of their own, else every shingle
     would split the line anew."""
-    lines = lines.withColumn("w", F.array_remove(F.split("low", _SPACE), ""))
+    lines = lines.withColumn("w", _words())
     last = F.greatest(F.size("w") - words, F.lit(0))
     return lines.withColumn("tokens", F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: _shingle(i, words)))).drop("w", "low")
 
 
 def _rarity(lines: DataFrame, words: int) -> Column:
-    """An array of SKETCH ranks (0-127) that rise with how often tokens of that
-    counter occur in all lines."""
-    lines = lines.select(F.array_remove(F.split("low", _SPACE), "").alias("w"))
+    """An array of SKETCH ranks (0-127, in the highest byte) that rise with how often
+    tokens of that counter occur in all lines."""
+    lines = lines.select(_words().alias("w"))
     # One row for each place, so that hashing stays in generated code. explode_outer:
     # explode's filter on the size would be pushed below the split and run it again.
     places = lines.select("w", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("w") - words, F.lit(0)))).alias("i"))
-    counts = places.groupBy(F.pmod(_shingle(F.col("i"), words), F.lit(SKETCH)).alias("k")).agg(F.count("*").alias("n")).collect()
+    counts = places.groupBy(_shingle(F.col("i"), words).bitwiseAND(F.lit(SKETCH - 1)).alias("k")).agg(F.count("*").alias("n")).collect()
     ranks = [0] * SKETCH
     for k, n in counts:  # at most SKETCH rows
-        ranks[k] = min(127, 3 * n.bit_length())
+        ranks[k] = min(127, 3 * n.bit_length()) << 56
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
@@ -55,8 +64,8 @@ def _ordered(tokens: Column, ranks: Column) -> Column:
     plain numbers."""
 
     def number(token: Column) -> Column:
-        rank = F.coalesce(F.get(ranks, F.pmod(token, F.lit(SKETCH)).cast("int")), F.lit(0))
-        return F.shiftleft(rank, 56).bitwiseOR(token.bitwiseAND(F.lit((1 << 56) - 1)))
+        rank = F.coalesce(F.get(ranks, token.bitwiseAND(F.lit(SKETCH - 1)).cast("int")), F.lit(0))
+        return rank.bitwiseOR(token.bitwiseAND(F.lit((1 << 56) - 1)))
 
     return F.sort_array(F.transform(tokens, number))
 
@@ -73,15 +82,14 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     lines = docs.select("d", "c", F.posexplode(F.split("text", "\n")).alias("p", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     lines = lines.select("d", "c", "p", F.lower("line").alias("low"))
     u, v = F.xxhash64("low").alias("u"), F.xxhash64(F.lit(7), "low").alias("v")
-    every = stored(lines.select("d", "c", "p", u, v), "lines")
-    firsts = stored(every.groupBy("u", "v").agg(F.min(F.struct("d", "c", "p")).alias("o"), F.count("*").alias("times")), "firsts")
 
-    # Prefixes, and the tokens that the prefixes of different lines share.
-    ranks = _rarity(lines.select("low"), words)
-    ordered = _with_tokens(lines.select(u, "low"), words).select("u", _ordered(F.col("tokens"), ranks).alias("tokens"))
+    # The prefixes of all lines, and the tokens that the prefixes of different lines share.
+    ordered = _with_tokens(lines.select(u, "low"), words).withColumn("tokens", _ordered(F.col("tokens"), _rarity(lines.select("low"), words)))
     n = F.size("tokens")
     prefix = F.slice("tokens", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1)
     prefixes = stored(ordered.select("u", n.alias("n"), F.posexplode(prefix).alias("i", "t")), "prefixes")
+    every = stored(lines.select("d", "c", "p", u, v), "lines")
+    firsts = stored(every.groupBy("u", "v").agg(F.min(F.struct("d", "c", "p")).alias("o"), F.count("*").alias("times")), "firsts")
     met = stored(prefixes.groupBy("t").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high").select("t"), "met")
     shared = stored(marked(prefixes, met, "t").join(met, "t").distinct(), "shared")
     discard(prefixes, met)
@@ -103,8 +111,8 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         texts = marked(lines.select(F.xxhash64("d", "c", "p").alias("place"), u, v, "low"), wanted, "place").dropDuplicates(["place", "u", "v"])
         sets = stored(_with_tokens(texts.join(wanted, ["place", "u", "v"]).select("u", "v", "o", "low"), words), "sets")
         both = pairs.join(sets.toDF("a", "va", "oa", "x"), "a").join(sets.toDF("b", "vb", "ob", "y"), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        both = both.where("a <> b or va <> vb").where(100 * common >= percent * (F.size("x") + F.size("y") - common))
+        both = both.where("a <> b or va <> vb").withColumn("common", F.size(F.array_intersect("x", "y")))
+        both = both.where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common")))
         later = F.when(F.col("oa") < F.col("ob"), F.struct(F.col("b").alias("u"), F.col("vb").alias("v"))).otherwise(F.struct(F.col("a").alias("u"), F.col("va").alias("v")))
         out = stored(both.select(later.alias("x")).select("x.*").distinct(), "gone")
         discard(wanted, sets)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, distinct_shingles, map_batches, mix, stored, string_buffers, table
+from .common import components, discard, distinct_shingles, map_batches, mix, stored, string_buffers, table
 
 SLOTS = 163
 BANDS, ROWS = 32, 5  # a pair of similarity 0.8 shares no band with probability 3e-6
@@ -87,9 +87,10 @@ def _sets(shingle_words: int):
     return kernel
 
 
-def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of ``sets`` (node, component, shingles) in different components
-    that may reach the threshold: none that does is missing.
+    that may reach the threshold: none that does is missing. And the stored table
+    that they are read from.
 
     Shingles are ordered by how many of these sets hold them, rarest first. If two
     sets reach it, the larger one's first n - ceil(t n) + 1 shingles and the smaller
@@ -109,7 +110,7 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
         f"s = s2 and ca <> cb and (na < nb or (na = nb and a < b)) and 100 * na >= {percent} * nb "
         f"and 1 + least(na - 1 - ia, nb - 1 - ib) >= (na + nb) * {percent} / {100 + percent}.0 - 1e-9"
     )
-    return index.join(larger, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return index.join(larger, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), first
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,19 +135,20 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
 
 def grouped(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The result of ``near_duplicates`` with ``c``, a hash of the row's text, and
+    """The result of ``near_duplicates`` with ``c``, 128 bits of the row's text, and
     ``group``, which names its group also where no row of it has an id; null for
     texts without shingles."""
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketched = stored(map_batches(slim.withColumn("c", F.xxhash64("text")), _sketch(shingle_words), f"doc_id {kind}, c long, n_shingles long, node binary, bands array<long>", 1), "sketches")
+    sketched = stored(map_batches(slim.withColumn("c", F.unhex(F.md5("text"))), _sketch(shingle_words), f"doc_id {kind}, c binary, n_shingles long, node binary, bands array<long>", 1), "sketches")
     classes = stored(sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("smallest"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
 
     members = classes.select(F.explode("bands").alias("key"), "node")
     crowded = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(members.join(crowded, "key"), "buckets")
-    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    members = members.join(weights, "node").select("key", "node", "weight")
+    buckets = stored(members.join(crowded, "key"), "buckets")
+    weights = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
+    members = stored(buckets.join(weights, "node").select("key", "node", "weight"), "members")
+    discard(buckets)
     centres = members.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("centre"))
     pairs = members.join(centres, "key").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     pairs = stored(pairs, "pairs")
@@ -164,14 +166,18 @@ def grouped(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col:
         return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
     links = stored(confirmed(pairs), "confirmed")
-    groups = components(links)
+    groups = stored(components(links), "groups")
     placed = members.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")
-    rest = stored(placed.join(mixed, "key", "left_semi"), "rest")
+    rest = stored(placed.join(mixed, "key", "left_semi").select("node", "component").distinct(), "rest")
+    discard(members)
     if rest.head(1):
-        more = _prefix_pairs(rest.select("node", "component").distinct().join(sets, "node"), percent)
-        links = stored(links.union(confirmed(more.join(pairs, ["a", "b"], "left_anti"))), "confirmed")
-        groups = components(links)
+        more, prefixes = _prefix_pairs(rest.join(sets, "node"), percent)
+        late = stored(confirmed(more.join(pairs, ["a", "b"], "left_anti")), "confirmed")
+        discard(prefixes, groups)
+        groups = stored(components(links.union(late)), "groups")
+        discard(late)
+    discard(pairs, sets, links, rest)
 
     smallest = groups.join(classes.select("node", "smallest"), "node").groupBy("component").agg(F.min("smallest").alias("least"))
     names = classes.select("node", "smallest").join(groups.join(smallest, "component").select("node", "least", "component"), "node", "left").select("node", F.coalesce("least", "smallest").alias("component_id"), F.coalesce("component", "node").alias("group"))

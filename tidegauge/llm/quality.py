@@ -131,6 +131,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 0
 
 
 N_GRADES = 3
+ADDED = ("expected_grade", "p_best", "accepted")
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -141,7 +142,12 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ordinal:
-    """Fitted on the ``fit_rows`` rated documents of smallest hash, whole texts."""
+    """Fitted on the ``fit_rows`` rated documents of smallest hash, whole texts.
+
+    Ratings with a null and ids without a document are left out; rows that repeat an id
+    all count, in a fixed order of (hash, id, grade, features). A null or empty text has
+    no features. Without ratings the model accepts everything.
+    """
     chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(fit_rows)
     joined = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
@@ -159,8 +165,7 @@ def grade(docs: DataFrame, model: Ordinal, least_tail: float = LEAST_TAIL) -> Da
     columns. The whole text is scored; a null text counts as empty (no features, so
     the prior decides); other columns pass unchanged; an empty table gives none.
     Rows are scored where they are read: only the weights (1 MB) travel."""
-    added = ("expected_grade", "p_best", "accepted")
-    slim = docs.select(*(c for c in docs.columns if c not in added))
+    slim = docs.select(*(c for c in docs.columns if c not in ADDED))
     text_at = slim.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = slim.columns
