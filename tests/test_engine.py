@@ -219,3 +219,140 @@ def test_continuous_queries(make):
     e.write_lines("cpu,host=a value=60 96", DB, precision="s")
     runner.run_due()
     assert values(e, "SELECT mean_value FROM late") == [50.0]
+
+
+def test_delete_keeps_its_condition(make):
+    for gap in ("\n", "\t", "\r\n  "):
+        e = make("cpu,host=s1 value=1 1\ncpu,host=s2 value=2 1")
+        e.query(f"DELETE FROM cpu{gap}WHERE{gap}host='s1';", DB)
+        assert values(e, "SELECT value FROM cpu") == [2.0]
+    e = make("cpu\\ where\\ a,host=s1 value=1 1\ncpu\\ where\\ a,host=s2 value=2 1")
+    e.query("DELETE FROM \"cpu where a\" WHERE host = 's2' AND time >= 0", DB)
+    assert values(e, 'SELECT value FROM "cpu where a"') == [1.0]
+
+
+def test_compacted_shards_are_read_without_a_merge(make):
+    e = make("cpu,host=a value=1 1\ncpu,host=b value=2 1\ncpu,host=a value=3 700000")
+    e.write_lines("cpu,host=a value=9 1", DB, precision="s")
+    e.query("DELETE FROM cpu WHERE host = 'b'", DB)
+    e.compact(DB, "cpu")
+    df = e.query("SELECT value FROM cpu", DB)
+    assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.value for r in df.collect()) == [3.0, 9.0]
+    e.write_lines("cpu,host=a value=4 1\ncpu,host=a value=5 2", DB, precision="s")
+    assert sorted(values(e, "SELECT value FROM cpu")) == [3.0, 4.0, 5.0]
+    again = Engine(e.spark, e.folder.root)
+    assert sorted(r.value for r in again.query("SELECT value FROM cpu", DB).collect()) == [3.0, 4.0, 5.0]
+    e.compact(DB, "cpu")
+    assert sorted(values(e, "SELECT value FROM cpu")) == [3.0, 4.0, 5.0]
+    assert [x for x in e.folder.children(e.folder.at("data", DB, "autogen", "cpu"))] == ["v2"]
+
+
+def test_a_broken_catalog_write_loses_nothing(make):
+    e = make("cpu value=1 1")
+    new = e.folder._path(f"{e.folder.root}/catalog.json.new")
+    e.folder._fs.create(new, True).close()  # a crash before the new version had its name
+    assert [r.value for r in Engine(e.spark, e.folder.root).query("SELECT value FROM cpu", DB).collect()] == [1.0]
+
+
+def test_series_limit_counts_what_is_there(make):
+    e = make("m,a=1 v=1 1\nm,a=2 v=1 1")
+    e.limits = Limits(series=3)
+    e.write_lines("m,a=2 v=2 2\nn v=1 1", DB)
+    with pytest.raises(QueryError, match="series"):
+        e.write_lines("m,a=3 v=1 1", DB)
+    assert values(e, "SHOW SERIES CARDINALITY") == [3]
+
+
+def test_limits_of_points_rows_and_seconds(make):
+    e = make(TEN)
+    e.limits = Limits(points=5)
+    assert "points" in e.query_json("SELECT sum(value) FROM cpu", DB)["results"][0]["error"]
+    assert e.query_json("SELECT sum(value) FROM cpu WHERE time <= 4s", DB)["results"][0]["series"][0]["values"][0][1] == 10.0
+    e.limits = Limits(rows=3)
+    with pytest.raises(QueryError, match="rows"):
+        e.rows("SELECT value FROM cpu", DB)
+    assert len(e.rows("SELECT value FROM cpu LIMIT 3", DB)) == 3 and e.last_report.rows == 3 and e.last_report.plan
+
+
+def slow(e):
+    """A measurement whose reading takes minutes."""
+    from pyspark.sql import functions as F
+
+    df = e.spark.range(0, 1 << 42, 1, 4).select(F.col("id").alias("t"), F.rand().alias("value"))
+    e.register(DB, "slow", df, "t", [], unique=True)
+
+
+def test_running_queries_are_listed_and_killed(make):
+    import threading
+    import time
+
+    e, seen = make("cpu value=1 1"), []
+    slow(e)
+
+    def run():
+        try:
+            e.rows("SELECT sum(value) FROM slow", DB)
+        except QueryError as x:
+            seen.append(str(x))
+
+    t = threading.Thread(target=run)
+    t.start()
+    for _ in range(100):
+        listed = [r for r in e.query("SHOW QUERIES", DB).collect() if "slow" in r.query]
+        if listed and e.spark.sparkContext.statusTracker().getActiveStageIds():
+            break
+        time.sleep(0.1)
+    e.query(f"KILL QUERY {listed[0].qid}", DB)
+    t.join(30)
+    assert seen == ["the query was killed"] and not e._running
+    e.limits = Limits(seconds=1.5)
+    with pytest.raises(QueryError, match="more than 1.5 s"):
+        e.rows("SELECT sum(value) FROM slow", DB)
+
+
+def test_explain_analyze_keys(make):
+    e = make(TEN)
+    got = dict(rows(e, "EXPLAIN ANALYZE SELECT mean(value) FROM cpu WHERE time > 4s GROUP BY host"))
+    assert (got["measurement"], got["scanned_points"], got["rows_returned"], got["used_aggregate_pushdown"]) == ("cpu", "6", "1", "true")
+    assert len([k for k in got if k in {"QUERY PLAN", "duration_ms", "used_series_index_pushdown", "used_streaming_raw_select", "estimated_input_bytes", "estimated_result_bytes", "segment_columns_read", "points_materialized"}]) == 8
+    plain = dict(rows(e, "EXPLAIN SELECT mean(value) FROM cpu"))
+    assert plain["scanned_points"] == plain["rows_returned"] == plain["duration_ms"] == "0"
+
+
+def test_continuous_queries_survive_errors_and_new_databases(make):
+    e = make("cpu value=10 70\ncpu value=20 85", now=105 * S)
+    e.query("CREATE CONTINUOUS QUERY bad ON db RESAMPLE EVERY 10s FOR 30s BEGIN SELECT mean(value) INTO late FROM cpu GROUP BY time(10s) END", DB)
+    e.catalog.state["databases"][DB]["queries"]["bad"]["text"] = "SELECT nothing(value) INTO x FROM cpu GROUP BY time(10s)"
+    e.query('CREATE CONTINUOUS QUERY good ON db RESAMPLE EVERY 10s FOR 40s BEGIN SELECT mean(value) INTO "fresh db"."autogen".rolled FROM cpu GROUP BY time(10s) END', DB)
+    turns = []
+    ContinuousQueries(e).run_forever(1, stop=lambda: len(turns) > 0 or turns.append(1))
+    assert e.metrics.continuous["db.bad"]["errors"] == 1 and e.metrics.continuous["db.good"]["errors"] == 0
+    assert values(e, 'SELECT mean_value FROM "fresh db".autogen.rolled') == [10.0, 20.0]
+
+
+def test_streaming_rollup_into_a_measurement(make, spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidegauge.plans.syntax import Name
+    from tidegauge.streaming.continuous import rollup_stream, stream_into
+
+    e = make("cpu value=1 1")
+    at = f"{tmp_path}/in"
+    rows_in = [(0, "a", 1.0), (30, "a", 3.0), (61, "a", 5.0), (5, "b", 7.0)]
+    spark.createDataFrame(rows_in, "s long, host string, value double").select(F.timestamp_seconds("s").alias("time"), "host", "value").write.parquet(at)
+    points = spark.readStream.schema("time timestamp, host string, value double").parquet(at)
+    q = stream_into(e, rollup_stream(points, ["host"], "value", "1 minute", "10 minutes"), ["host"], Name("rolled"), DB, f"{tmp_path}/progress")
+    q.processAllAvailable()
+    q.stop()
+    assert rows(e, "SELECT count_value, sum_value FROM rolled GROUP BY host") == [(0, "a", 2, 4.0), (60 * S, "a", 1, 5.0), (0, "b", 1, 7.0)]
+
+
+def test_gzip_text_is_read(make, spark, tmp_path):
+    import gzip
+
+    with gzip.open(f"{tmp_path}/points.gz", "wt") as f:
+        f.write("cpu,host=a value=1 1\n# a comment\n\ncpu,host=b value=2 2\n")
+    e = make()
+    assert e.write_lines(spark.read.text(f"{tmp_path}/points.gz"), DB, precision="s") == 2
+    assert values(e, "SELECT value FROM cpu") == [1.0, 2.0]

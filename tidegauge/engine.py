@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
 import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import Catalog
@@ -74,6 +76,12 @@ class Metrics:
         return "\n".join(lines) + "\n"
 
 
+def _leaves(tree) -> list:
+    """The source nodes of a logical plan."""
+    found = tree.collectLeaves()
+    return [found.apply(i) for i in range(found.size())]
+
+
 class Engine:
     """``root`` is a folder that the driver and all executors see; without one the
     engine holds registered frames only. ``now`` gives the time in ns."""
@@ -146,7 +154,9 @@ class Engine:
         return Points(self._stored(db, rp, name.measurement, m, held, wanted), tuple(m["tags"]), dict(m["fields"]))
 
     def _path(self, db: str, rp: str, name: str) -> str:
-        return self.folder.at("data", db, rp, name)
+        """Where a measurement's files are: in the folder of its last compaction."""
+        version = (self.catalog.measurement(db, rp, name) or {}).get("version", 0)
+        return self.folder.at("data", db, rp, name, f"v{version}")
 
     def _shard_ns(self, db: str, rp: str) -> int:
         return self.catalog.database(db)["policies"][rp]["shard"]
@@ -181,8 +191,17 @@ class Engine:
         return df
 
     def _stored(self, db: str, rp: str, name: str, m: dict, held: Bounds, wanted: set[str] | None) -> DataFrame:
+        """Points merged by last write. A shard that nothing was written to since its
+        measurement was compacted holds each point once, and is read without a merge."""
         fields = [f for f in m["fields"] if f not in m["tags"] and (wanted is None or f in wanted)]
-        return store.merged(self._written(db, rp, name, m, held), m["tags"], fields)
+        df = self._written(db, rp, name, m, held)
+        if "fresh" not in m:
+            return store.merged(df, m["tags"], fields)
+        once = df.select("time_ns", *(c(t) for t in m["tags"]), *(c(f) for f in fields))
+        if not m["fresh"]:
+            return once
+        fresh = F.col("_shard").isin(m["fresh"])
+        return once.where(~fresh).unionByName(store.merged(df.where(fresh), m["tags"], fields))
 
     # --- writing -----------------------------------------------------------
 
@@ -227,24 +246,36 @@ class Engine:
                         by_field.setdefault(r.f, set()).add(r.kind)
                 self.catalog.register(db, rp, n, {r.tag for r in keys if r.measurement == n and r.tag}, by_field)
             if self.limits.series:
-                self._check_series(points, db)
+                self._check_series(points, db, names)
         except QueryError:
             self.catalog.state = json.loads(before)
             raise
         batch, slot = self.catalog.next_batch(), {"float": "f", "integer": "i", "boolean": "b", "string": "s"}
+        touched: dict[str, set[int]] = {}
+        for r in points.where("measurement is not null").select("measurement", store.shard_of(self._shard_ns(db, rp)).alias("shard")).distinct().collect():
+            touched.setdefault(r.measurement, set()).add(r["shard"])
         for n in names:
             m = self.catalog.measurement(db, rp, n)
             own = points.where(F.col("measurement") == n)
             wide = own.select("time_ns", *(F.col("tags")[t].alias(t) for t in m["tags"]), *(F.col("fields")[f][slot[k]].alias(f) for f, k in m["fields"].items() if f not in m["tags"]), F.lit(batch).cast("long").alias("_batch"), F.col("line").alias("_line"))
             store.append(wide, self._path(db, rp, n), self._shard_ns(db, rp))
+            if "fresh" in m:
+                m["fresh"] = sorted({*m["fresh"], *touched[n]})
         self.catalog.save()
         count = points.count()
         self.metrics.points_written += count
         return count
 
-    def _check_series(self, points: DataFrame, db: str) -> None:
-        new = points.select(F.xxhash64("measurement", F.array_sort(F.map_entries("tags")))).distinct().limit(self.limits.series + 1).count()
-        if new > self.limits.series:
+    def _check_series(self, points: DataFrame, db: str, names: list[str]) -> None:
+        """The database's series, those that are written now included, against the limit."""
+        new = points.where("measurement is not null").select("measurement", F.array_sort(F.map_entries("tags")).alias("tags"))
+        for rp, by_name in self.catalog.database(db)["measurements"].items():
+            for name, m in by_name.items():
+                if not self.folder.exists(self._path(db, rp, name)):
+                    continue
+                tags = F.filter(F.array(*(F.struct(F.lit(t).alias("key"), c(t).alias("value")) for t in m["tags"])), lambda e: e["value"].isNotNull()) if m["tags"] else F.array().cast("array<struct<key:string,value:string>>")
+                new = new.union(self._written(db, rp, name, m).select(F.lit(name), F.array_sort(tags)).distinct())
+        if new.distinct().limit(self.limits.series + 1).count() > self.limits.series:
             raise QueryError(f"more than {self.limits.series} series in {db}")
 
     def write_points(self, planned: Planned, target: Name, db: str) -> int:
@@ -278,25 +309,73 @@ class Engine:
         return self._answer(text, db)[0]
 
     def _answer(self, text: str, db: str) -> tuple[DataFrame, Planned | None]:
+        with self._listed(text, db):
+            return self._run(parse(text, self.now), text, db)
+
+    @contextmanager
+    def _listed(self, text: str, db: str) -> Iterator[None]:
+        """The statement shows in SHOW QUERIES, can be killed and is timed until the
+        block ends; ``Limits.seconds`` holds for its Spark jobs."""
         begin = time.time()
         with self._lock:
             self._ids += 1
             number = self._ids
             self._running[number] = {"qid": number, "query": text, "database": db, "started": begin}
-        self.last_report = Report(text)
-        self.spark.addTag(f"tidegauge-{number}")
+        self.last_report = report = Report(text)
+        tag, late = f"tidegauge-{number}", threading.Event()
+
+        def stop() -> None:
+            late.set()
+            self.spark.sparkContext.cancelJobsWithTag(tag)
+
+        timer = threading.Timer(self.limits.seconds, stop) if self.limits.seconds else None
+        if timer:
+            timer.daemon = True
+            timer.start()
+        self.spark.sparkContext.addJobTag(tag)
         try:
-            out = self._run(parse(text, self.now), text, db)
+            yield
         except Exception as e:
             self.metrics.errors += 1
-            self.last_report.error = str(e)
-            raise
+            killed = number not in self._running
+            if late.is_set() or killed:
+                e = QueryError("the query was killed" if killed else f"the query took more than {self.limits.seconds} s")
+            report.error = str(e)
+            raise e
         finally:
-            self.spark.removeTag(f"tidegauge-{number}")
+            if timer:
+                timer.cancel()
+            self.spark.sparkContext.removeJobTag(tag)
             self._running.pop(number, None)
-            self.last_report.seconds = time.time() - begin
-            self.metrics.took(self.last_report.seconds)
-        return out
+            report.seconds = time.time() - begin
+            self.metrics.took(report.seconds)
+
+    def rows(self, text: str, db: str) -> list[Row]:
+        """The rows of an answer, at most ``Limits.rows``. Unlike the lazy frame of
+        ``query``, the work is done here, so it is listed, timed and can be killed."""
+        with self._listed(text, db):
+            s = parse(text, self.now)
+            df, p = self._run(s, text, db)
+            self._check_points(s, db)
+            out = (df.limit(self.limits.rows + 1) if self.limits.rows else df).collect()
+            if self.limits.rows and len(out) > self.limits.rows:
+                raise QueryError(f"more than {self.limits.rows} rows")
+            self.last_report.rows = len(out)
+            self.last_report.plan = df._jdf.queryExecution().simpleString() if p else ""
+            return out
+
+    def _check_points(self, s: object, db: str) -> None:
+        """``Limits.points`` against the points that a SELECT reads within its time bounds."""
+        if isinstance(s, Select) and self.limits.points and self._scanned(s, db).limit(self.limits.points + 1).count() > self.limits.points:
+            raise QueryError(f"the query reads more than {self.limits.points} points")
+
+    def _scanned(self, s: Select, db: str, held: Bounds = Bounds()) -> DataFrame:
+        """The points that a SELECT's innermost source reads."""
+        while True:
+            held = held.meet(filters.bounds(s.where)) if s.where is not None else held
+            if not isinstance(s.source, Select):
+                return self.points(db, s.source, held, set()).frame
+            s = s.source
 
     def _run(self, s: object, text: str, db: str) -> tuple[DataFrame, Planned | None]:
         if isinstance(s, Select):
@@ -314,7 +393,7 @@ class Engine:
             df = df.offset(s.offset) if s.offset else df
             return (df.limit(s.limit) if s.limit is not None else df), None
         if isinstance(s, Delete):
-            self._delete(s, text, db)
+            self._delete(s, db)
         elif isinstance(s, Command):
             self._command(s, db)
         return self._frame([], "status string"), None
@@ -324,17 +403,24 @@ class Engine:
 
     def _explain(self, s: Explain, db: str) -> DataFrame:
         p = self.planned(replace(s.select, into=None), db)
-        tree = p.frame._jdf.queryExecution()
-        rows = [("statement", "select"), ("measurement", p.name), ("series tags", ",".join(p.series)), ("columns", ",".join(p.columns)), ("logical plan", tree.optimizedPlan().toString()), ("physical plan", tree.executedPlan().toString())]
-        if s.analyze:
-            begin = time.time()
-            rows += [("rows", str(p.frame.count())), ("seconds", f"{time.time() - begin:.3f}")]
-        return self._frame(rows, "key string, value string")
-
-    def _delete(self, s: Delete, text: str, db: str) -> None:
+        tree, begin = p.frame._jdf.queryExecution(), time.time()
+        optimized, physical = tree.optimizedPlan().toString(), tree.executedPlan().toString()
+        returned = p.frame.count() if s.analyze else 0
+        took = time.time() - begin if s.analyze else 0
+        scanned = self._scanned(s.select, db).count() if s.analyze else 0
+        read = sorted(set(re.findall(r"ReadSchema: struct<([^>]*)>", physical)))
+        # The keys that clients of the language expect.
+        rows = [
+            ("QUERY PLAN", "SCAN"), ("measurement", p.name), ("scanned_points", scanned), ("rows_returned", returned), ("duration_ms", round(took * 1000)),
+            ("used_series_index_pushdown", "PushedFilters: [" in physical and "PushedFilters: []" not in physical), ("used_aggregate_pushdown", "partial_" in physical), ("used_streaming_raw_select", "Aggregate" not in physical and "Window" not in physical),
+            ("estimated_input_bytes", sum(int(x.stats().sizeInBytes()) for x in _leaves(tree.optimizedPlan()))), ("estimated_result_bytes", int(tree.optimizedPlan().stats().sizeInBytes())),
+            ("segment_columns_read", sum(x.count(",") + 1 for x in read if x)), ("points_materialized", returned),
+        ]
+        rows += [("series tags", ",".join(p.series)), ("columns", ",".join(p.columns)), ("logical plan", optimized), ("physical plan", physical)]
+        return self._frame([(k, str(v).lower() if isinstance(v, bool) else str(v)) for k, v in rows], "key string, value string")
+
+    def _delete(self, s: Delete, db: str) -> None:
         with self._lock:
-            at = text.lower().find(" where ")
-            where = text[at + 7 :].strip().rstrip(";") if at >= 0 else None
             for name in s.sources or [Name(n) for n in self.catalog.measurements(db)]:
                 own = name.db or db
                 policies = [name.rp] if name.rp else list(self.catalog.database(own)["measurements"])
@@ -345,7 +431,7 @@ class Engine:
                     if m is None:
                         continue
                     filters.check(s.where, tuple(m["tags"]), m["fields"])
-                    mark = {"batch": self.catalog.state["batch"], "where": where, "now": self.now()}
+                    mark = {"batch": self.catalog.state["batch"], "where": s.where_text, "now": self.now()}
                     if s.whole_series and s.where is not None:
                         p = self.planned(Select((Item("*"),), Name(name.measurement, rp, own), s.where), own)
                         mark["series"] = self.folder.at("series", uuid.uuid4().hex)
@@ -371,7 +457,7 @@ class Engine:
             elif s.verb == "drop measurement":
                 for rp, by_name in cat.database(db)["measurements"].items():
                     if by_name.pop(x["name"], None) is not None:
-                        self._remove("data", db, rp, x["name"])
+                        self._remove("data", db, rp, x["name"])  # all its versions
                 self.external = {k: v for k, v in self.external.items() if k[0] != db or k[2] != x["name"]}
             elif s.verb == "drop shard":
                 shards = [r for r in self.shards() if r["id"] == x["id"]]
@@ -385,7 +471,8 @@ class Engine:
             elif s.verb == "kill query":
                 if x["id"] not in self._running:
                     raise QueryError(f"no such query: {x['id']}")
-                self.spark.interruptTag(f"tidegauge-{x['id']}")
+                self._running.pop(x["id"])
+                self.spark.sparkContext.cancelJobsWithTag(f"tidegauge-{x['id']}")
             cat.save()
 
     def _remove(self, *parts: str) -> None:
@@ -415,21 +502,23 @@ class Engine:
         return n
 
     def compact(self, db: str, name: str, rp: str | None = None) -> None:
-        """Rewrites a measurement without deleted and overwritten points."""
+        """Rewrites a measurement without deleted and overwritten points, as a new
+        version that counts once the catalog names it; then the old one goes. Until new
+        points are written to a shard, it is read without a merge."""
         with self._lock:
             rp = rp or self.catalog.default_policy(db)
-            m, path = self.catalog.measurement(db, rp, name), self._path(db, rp, name)
-            if m is None or not self.folder.exists(path):
+            m = self.catalog.measurement(db, rp, name)
+            if m is None or not self.folder.exists(old := self._path(db, rp, name)):
                 return
-            new = self.folder.at("staging", uuid.uuid4().hex)
             batch = self.catalog.next_batch()
-            points = store.merged(self._written(db, rp, name, m), m["tags"], [f for f in m["fields"] if f not in m["tags"]])
+            points = self._stored(db, rp, name, m, Bounds(), None)
+            version = m.get("version", 0) + 1
+            new = self.folder.at("data", db, rp, name, f"v{version}")
+            self.folder.remove(new)  # of a compaction that was cut short
             store.append(points.withColumn("_batch", F.lit(batch).cast("long")).withColumn("_line", F.lit(0).cast("long")), new, self._shard_ns(db, rp))
-            self.folder.remove(path)
-            self.folder._fs.mkdirs(self.folder._path(path).getParent())
-            self.folder._fs.rename(self.folder._path(new), self.folder._path(path))
-            m["deleted"] = []
+            m |= {"version": version, "fresh": [], "deleted": []}
             self.catalog.save()
+            self.folder.remove(old)
 
     def manifest(self, db: str) -> DataFrame:
         """(path, size, sha256) of every data file of a database."""
@@ -451,7 +540,13 @@ class Engine:
         partition by partition."""
         if epoch is not None and epoch not in PRECISIONS:
             raise QueryError(f"unknown epoch {epoch}")
-        df, p = self._answer(text, db)
+        with self._listed(text, db):
+            yield from self._chunks(text, db, epoch, chunk_size)
+
+    def _chunks(self, text: str, db: str, epoch: str | None, chunk_size: int) -> Iterator[dict]:
+        s = parse(text, self.now)
+        df, p = self._run(s, text, db)
+        self._check_points(s, db)
         series = p.series if p else ()
         columns = [x for x in df.columns if x not in series]
         name = p.name if p else ""

@@ -108,6 +108,7 @@ class Delete:
     sources: tuple[Name, ...]
     where: Condition = None
     whole_series: bool = False
+    where_text: str | None = None  # of the condition as it was written
 
 
 @dataclass(frozen=True)

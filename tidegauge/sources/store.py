@@ -1,12 +1,13 @@
 """Where points are kept: Parquet partitioned by shard, under a folder that all
-executors share; small state is JSON beside it, written by way of a new file."""
+executors share; small state is JSON beside it, written as a new version."""
 
 from __future__ import annotations
 
 import json
+import re
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructType
 
@@ -37,10 +38,16 @@ class Folder:
     def at(self, *parts: str) -> str:
         return "/".join([self.root, *(quote(p, safe="") for p in parts)])
 
+    def _versions(self, name: str) -> list[tuple[int, str]]:
+        """Complete versions of a document, the newest last."""
+        found = [(x, re.fullmatch(re.escape(name) + r"\.(\d+)", x)) for x in self.children(self.root)]
+        return sorted((int(m[1]), x) for x, m in found if m)
+
     def read_json(self, name: str) -> dict | None:
-        path = self._path(f"{self.root}/{name}")
-        if not self._fs.exists(path):
+        versions = self._versions(name)
+        if not versions:
             return None
+        path = self._path(f"{self.root}/{versions[-1][1]}")
         stream = self._fs.open(path)
         try:
             return json.loads(bytes(self._io.toByteArray(stream)).decode())
@@ -48,12 +55,17 @@ class Folder:
             stream.close()
 
     def write_json(self, name: str, value: dict) -> None:
-        new, path = self._path(f"{self.root}/{name}.new"), self._path(f"{self.root}/{name}")
+        """Adds a version: it counts once it has its name, and only then older ones go,
+        so a crash at any point leaves one that can be read."""
+        versions = self._versions(name)
+        new = self._path(f"{self.root}/{name}.new")
         stream = self._fs.create(new, True)
         stream.write(json.dumps(value, sort_keys=True).encode())
         stream.close()
-        self._fs.delete(path, False)
-        self._fs.rename(new, path)
+        if not self._fs.rename(new, self._path(f"{self.root}/{name}.{versions[-1][0] + 1 if versions else 1}")):
+            raise OSError(f"{name} can't be written")
+        for _, old in versions:
+            self._fs.delete(self._path(f"{self.root}/{old}"), False)
 
     def remove(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
@@ -73,11 +85,15 @@ def schema(tags: list[str], fields: dict[str, str]) -> StructType:
     return out
 
 
+def shard_of(shard_ns: int) -> Column:
+    """The start of the shard that ``time_ns`` is in."""
+    return F.expr(f"time_ns div {shard_ns} * {shard_ns} - case when time_ns < 0 and time_ns % {shard_ns} <> 0 then {shard_ns} else 0 end")
+
+
 def append(df: DataFrame, path: str, shard_ns: int) -> None:
     """Adds points; rows of one shard are brought together so that each batch adds
-    few files to it."""
-    shard = F.expr(f"time_ns div {shard_ns} * {shard_ns} - case when time_ns < 0 and time_ns % {shard_ns} <> 0 then {shard_ns} else 0 end")
-    df.withColumn("_shard", shard).repartition("_shard", F.pmod(F.xxhash64("time_ns"), F.lit(16))).write.mode("append").partitionBy("_shard").parquet(path)
+    few files to it. Large shards are split by size (rebalanced), small ones are not."""
+    df.withColumn("_shard", shard_of(shard_ns)).hint("rebalance", "_shard").write.mode("append").partitionBy("_shard").parquet(path)
 
 
 def merged(df: DataFrame, tags: list[str], fields: list[str]) -> DataFrame:
