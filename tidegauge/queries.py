@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .engine import Engine
+from .engine import Engine, Limits
+from .plans.literals import QueryError
 
 DAY, HOUR, MINUTE = 86_400_000_000_000, 3_600_000_000_000, 60_000_000_000
 DB = "metrics"
@@ -54,6 +55,12 @@ def _line(where: str, extra: str = "") -> str:
     return f"with e as (select t, concat('event_type=', event_type, ',user_id=', user_id) as key, value as v from {E} where {where}), l as (select *, lag(v) over w as pv, lag(t) over w as pt, row_number() over w as i, count(*) over () as n{extra} from e window w as (order by t, key))"
 
 
+# What SHOW tells, from the tables themselves.
+_MEASUREMENTS = "(" + " union all ".join(f"select '{x}' as name where exists (select 1 from {x})" for x in ("events", "lineitem", "orders")) + ")"
+_TAGS = "(select column_name from (describe events) where column_name in ('event_type', 'user_id'))"
+_FIELDS = r"""(select column_name, column_type from (describe events) where column_name not in ('ts', 'event_type', 'user_id') union all select distinct regexp_extract(props, '"(\w+)"', 1), 'BIGINT' from events)"""
+_KIND = "case when column_type in ('BIGINT', 'INTEGER') then 'integer' when column_type = 'DOUBLE' then 'float' when column_type = 'VARCHAR' then 'string' end"
+
 TEXTS: dict[str, tuple[str, str]] = {
     "raw_star_limit": ("SELECT * FROM events LIMIT 50", f"select t as time, event_type, user_id, event_id, k, props, round(value, 6) as value from {E} order by t limit 50"),
     "raw_fields": (f"SELECT value, k FROM events WHERE {WEEK}", f"select t as time, event_type, user_id, round(value, 6) as value, k from {E} where {WEEK_SQL}"),
@@ -110,16 +117,16 @@ TEXTS: dict[str, tuple[str, str]] = {
     "lww_merge": ("SELECT count(l_quantity), sum(l_quantity), sum(l_extendedprice) FROM lineitem GROUP BY l_returnflag", f"select max(t) as time, l_returnflag, count(l_quantity) as count_l_quantity, round(sum(l_quantity), 6) as sum_l_quantity, round(sum(l_extendedprice), 2) as sum_l_extendedprice from {LW} group by l_returnflag"),
     "lww_by_month": ("SELECT max(l_quantity), min(l_quantity) FROM lineitem WHERE time >= '1998-01-01T00:00:00Z' AND time < '1999-01-01T00:00:00Z' GROUP BY time(30d), l_linestatus", f"select {_b(30 * DAY)} as time, l_linestatus, max(l_quantity) as max_l_quantity, min(l_quantity) as min_l_quantity from {LW} where t >= 883612800000000000 and t < 915148800000000000 group by 1, 2"),
     "orders_by_status": ("SELECT count(o_totalprice), max(o_totalprice) FROM orders GROUP BY time(365d), o_orderstatus", f"with o as (select epoch_ns(o_orderdate) as t, * from orders) select {_b(365 * DAY)} as time, o_orderstatus, count(o_totalprice) as count_o_totalprice, max(o_totalprice) as max_o_totalprice from o group by 1, 2"),
-    "show_measurements": ("SHOW MEASUREMENTS", "select unnest(['events', 'lineitem', 'orders']) as name"),
-    "show_tag_keys": ("SHOW TAG KEYS FROM events", "select unnest(['event_type', 'user_id']) as tagKey"),
+    "show_measurements": ("SHOW MEASUREMENTS", f"select name from {_MEASUREMENTS}"),
+    "show_tag_keys": ("SHOW TAG KEYS FROM events", f"select column_name as tagKey from {_TAGS}"),
     "show_tag_values": ("SHOW TAG VALUES FROM events WITH KEY = user_id WHERE event_type = 'click'", f"select distinct 'user_id' as key, user_id as value from {E} where event_type = 'click'"),
-    "show_field_keys": ("SHOW FIELD KEYS FROM events", "select * from (values ('event_id', 'integer'), ('k', 'integer'), ('props', 'string'), ('value', 'float')) v(fieldKey, fieldType)"),
+    "show_field_keys": ("SHOW FIELD KEYS FROM events", f"select column_name as fieldKey, {_KIND} as fieldType from {_FIELDS}"),
     "show_series": ("SHOW SERIES FROM events", f"select distinct concat('events,event_type=', event_type, ',user_id=', user_id) as key from {E}"),
     "series_cardinality": ("SHOW SERIES CARDINALITY FROM events", f"select count(distinct (event_type, user_id)) as count from {E}"),
     "tag_values_cardinality": ("SHOW TAG VALUES CARDINALITY FROM events WITH KEY = event_type", f"select count(distinct event_type) as count from {E}"),
-    "measurement_cardinality": ("SHOW MEASUREMENT CARDINALITY", "select 3 as count"),
-    "tag_key_cardinality": ("SHOW TAG KEY CARDINALITY FROM events", "select 2 as count"),
-    "field_key_cardinality": ("SHOW FIELD KEY CARDINALITY FROM events", "select 4 as count"),
+    "measurement_cardinality": ("SHOW MEASUREMENT CARDINALITY", f"select count(*) as count from {_MEASUREMENTS}"),
+    "tag_key_cardinality": ("SHOW TAG KEY CARDINALITY FROM events", f"select count(*) as count from {_TAGS}"),
+    "field_key_cardinality": ("SHOW FIELD KEY CARDINALITY FROM events", f"select count(*) as count from {_FIELDS}"),
 }
 
 _FILL = "SELECT mean(value) FROM events WHERE event_type = 'click' AND user_id = '7' AND time >= '2024-01-05T00:00:00Z' AND time <= '2024-01-12T00:00:00Z' GROUP BY time(6h), user_id fill({})"
@@ -215,16 +222,58 @@ def retention_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.query("SELECT count(value) FROM events", DB)
 
 
-WRITING = {f.__name__: f for f in (line_protocol_roundtrip, select_into_roundtrip, delete_range, drop_series, cq_rollup, retention_expiry)}
+def delete_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A condition that stands on a line of its own."""
+    out = _loaded(spark, sf_dir)
+    out.query("DELETE FROM events\nWHERE\tevent_type = 'click'", DB)
+    return out.query("SELECT count(value) FROM events GROUP BY event_type", DB)
+
+
+def stored_count_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compacted shards, read without a merge, beside shards written to since."""
+    out = _loaded(spark, sf_dir)
+    out.compact(DB, "events")
+    late = out.export_lines(DB, "events").where("value like '%event_type=click%'")
+    out.write_lines(late, DB)  # the same points once more
+    return rounded(out.query("SELECT count(value), sum(value) FROM events GROUP BY event_type", DB))
+
+
+def series_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series are counted with those that are stored: a write beyond the limit changes nothing."""
+    out = _loaded(spark, sf_dir)
+    out.limits = Limits(series=out.query("SHOW SERIES CARDINALITY FROM events", DB).first()[0])
+    try:
+        out.write_lines("events,event_type=new,user_id=0 value=1 1704067200000000000", DB)
+    except QueryError:
+        return out.query("SHOW SERIES CARDINALITY FROM events", DB)
+    raise AssertionError("the limit was not kept")
+
+
+def cq_new_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A continuous query that writes into a database that isn't there yet."""
+    from .streaming.continuous import ContinuousQueries
+
+    out = _loaded(spark, sf_dir)
+    out.query(f"CREATE CONTINUOUS QUERY c ON {DB} RESAMPLE EVERY 1d FOR 3d BEGIN SELECT mean(value), count(value) INTO fresh.autogen.rollup FROM events GROUP BY time(1d), event_type END", DB)
+    ContinuousQueries(out).run_due()
+    return rounded(out.query("SELECT mean_value, count_value FROM fresh.autogen.rollup", DB))
+
+
+WRITING = {f.__name__: f for f in (line_protocol_roundtrip, select_into_roundtrip, delete_range, delete_multiline, drop_series, stored_count_compacted, series_limit, cq_rollup, cq_new_database, retention_expiry)}
 WRITING_SQL = {
     "line_protocol_roundtrip": f"select t as time, event_type, user_id, event_id, k, props, round(value, 6) as value from {E}",
     "select_into_roundtrip": f"select {_b(DAY)} as time, event_type, round(avg(value), 6) as mean_value from {E} group by 1, 2",
     "delete_range": f"select max(t) as time, event_type, count(value) as count_value from {E} where not (event_type = 'click' and {WEEK_SQL}) group by event_type",
     "drop_series": f"select distinct concat('events,event_type=', event_type, ',user_id=', user_id) as key from {E} e where not exists (select 1 from {E} d where d.event_type = e.event_type and d.user_id = e.user_id and d.value > 250)",
     "cq_rollup": f"select {_b(DAY)} as time, event_type, round(avg(value), 6) as mean_value, count(value) as count_value from {E} where t >= 1706572800000000000 - {4 * DAY} and t < 1706572800000000000 + {DAY} group by 1, 2",
+    "delete_multiline": f"select max(t) as time, event_type, count(value) as count_value from {E} where event_type <> 'click' group by event_type",
+    "stored_count_compacted": f"select max(t) as time, event_type, count(value) as count_value, round(sum(value), 6) as sum_value from {E} group by event_type",
+    "series_limit": f"select count(distinct (event_type, user_id)) as count from {E}",
     "retention_expiry": f"select max(t) as time, count(value) as count_value from {E} where {_b(DAY)} + {DAY} >= 1706659200000000000 - {14 * DAY}",
 }
 
+WRITING_SQL["cq_new_database"] = WRITING_SQL["cq_rollup"]
+
 QUERIES = {name: _statement(text) for name, (text, _) in TEXTS.items()} | WRITING
 ORACLE_SQL = {name: sql for name, (_, sql) in TEXTS.items()} | WRITING_SQL
 
