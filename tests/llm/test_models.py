@@ -182,13 +182,33 @@ def test_wrapper_without_article_tags(spark):
     assert html.main_text(df.limit(0)).collect() == []
 
 
+def best_match(a, b):
+    """Simple tree matching by its definition."""
+    if a.label != b.label:
+        return 0
+    best = [[0] * (len(b.inner) + 1) for _ in range(len(a.inner) + 1)]
+    for i, p in enumerate(a.inner):
+        for j, q in enumerate(b.inner):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + best_match(p, q))
+    return 1 + best[-1][-1]
+
+
 def test_tree_matching():
-    leaf = lambda x: [x, 0, 0, []]
-    a = ["r", 0, 0, [leaf("x"), ["y", 0, 0, [leaf("z")]], leaf("w")]]
-    b = ["r", 0, 0, [["y", 0, 0, [leaf("q"), leaf("z")]], leaf("w")]]
-    n, pairs = html.match(a, b)
-    assert n == 4 and [p[0][0] for p in pairs].count("z") == 1
-    assert html.match(a, leaf("other"))[0] == 0
+    rng = np.random.default_rng(6)
+
+    def tree(depth):
+        return html.Block("rxyz"[rng.integers(4)] if depth < 3 else "r", inner=[tree(depth - 1) for _ in range(rng.integers(0, 4))] if depth else [])
+
+    for _ in range(300):
+        a, b = tree(3), tree(3)
+        n, pairs = html.match(a, b)
+        assert n == best_match(a, b) == len(pairs) and len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == n
+        assert all(x.label == y.label for x, y in pairs)
+        place = [{id(x): i for i, x in enumerate(html.in_order(t))} for t in (a, b)]
+        there = sorted((place[0][id(x)], place[1][id(y)]) for x, y in pairs)
+        assert [y for _, y in there] == sorted(y for _, y in there)  # order is kept
+        assert [x.label for x in html.in_order(html.unpacked(html.packed(a)))] == [x.label for x in html.in_order(a)]
+    assert html.match(html.Block("x"), html.Block("y"))[0] == 0
 
 
 def test_pages_of_the_tables(spark):
@@ -226,8 +246,33 @@ def test_wrappers_of_all_pages_and_layouts(spark, monkeypatch):
     pages = [one.format(n=n, s="odd" if n in (7, 31) else "usual") for n in range(40)] + [two.format(n=n) for n in range(40, 50)]
     want = [f"{'odd' if n in (7, 31) else 'usual'} Text {n}" for n in range(40)] + [f"Other {n}" for n in range(40, 50)]
     assert texts_of(spark, pages) == want
-    monkeypatch.setattr(html, "SENT_WRAPPERS", 0)
+    monkeypatch.setattr(html, "BLOCK_CHARS", 100)
     assert texts_of(spark, pages) == want
+    # The wrapper decides: without it the bars stay.
+    assert [html.extract(x, None) for x in pages] != want
+
+
+def test_class_words_inside_articles(spark):
+    page = '<article><h1 class="post-header">Title {n}</h1><p>Body {n}</p><div class="related-work side">Work {n}</div><p class="notice">Note {n}</p><div class="comments"><p>first {n}</div></article>'
+    want = [f"Title {n} Body {n} Work {n} Note {n}" for n in range(5)]
+    pages = [page.format(n=n) for n in range(5)]
+    assert texts_of(spark, pages) == want == [html.extract(x, None) for x in pages]
+
+
+def test_a_teaser_article_and_rotating_adverts(spark):
+    teaser = "<body><div class=wrap><article><p>Read also this</p></article><div class=story><h2>Head {n}</h2><p>Story {n}</p></div></div><div class=slot>{ad}</div></body>"
+    pages = [teaser.format(n=n, ad=("Buy shoes", "Buy hats")[n % 2]) for n in range(12)]
+    assert texts_of(spark, pages) == [f"Head {n} Story {n}" for n in range(12)]
+
+
+def test_repeated_pages_and_deep_nesting(spark):
+    deep = ["<div>" * 5000 + f"core {n}" + "</div>" * 5000 for n in range(4)]
+    deep += ["<b>" * 5000 + "bold", "<ul><li>" * 3000 + "item", "<p>" * 5000 + "end"]
+    assert texts_of(spark, deep) == [f"core {n}" for n in range(4)] + ["bold", "item", "end"]
+    # One page many times over is one page: nothing is template for that.
+    same = "<body><div class=a>Only</div><div class=b>page</div></body>"
+    df = spark.createDataFrame([(i, "http://one.example/", same) for i in range(9)], "page_id long, url string, html string")
+    assert {r.text for r in html.main_text(df).collect()} == {"Only page"}
 
 
 @pytest.mark.parametrize("bad", ["<", "<p", "</", "<p a='", "<!--", "<script>x", "</p></div>", "<p><div></p></div>", "&#xZZ; &bogus;", "<a" * 500])
