@@ -1,11 +1,12 @@
 """Operator 8, personal data: fixed patterns, and a character-level bidirectional
 LSTM with a CRF on top, trained in numpy from labelled spans.
 
-A span must hold a digit or an at sign (a hard constraint of the decoder), so a
-stretch of text that is further than CONTEXT from any of those decodes to no span,
-and only the rest is run through the network, in overlapping windows whose labels
-are reconciled over the whole text: each character takes the label of the window
-in whose middle it stands most.
+The network reads every character of every text, in overlapping windows whose labels
+are reconciled over the whole text: where two windows meet, each gives the labels of
+its own half of the overlap. It is trained on what the fixed patterns find in a sample
+of documents and on made-up sentences with personal data that no pattern lists:
+addresses spelled out or obfuscated, national phone numbers beside a cue, disguised ip
+addresses, card numbers with unusual separators.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ from pyspark.sql import functions as F
 from .common import map_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE, CONTEXT = 64, 32, 16
-HIDDEN, EMBED = 16, 12
-#: Documents with a digit or an at sign that the network is trained on at most.
-FIT_DOCS = 400
-FIT_WINDOWS = 3000
+WINDOW, OVERLAP = 512, 64
+HIDDEN, EMBED = 10, 12
+#: The network is trained on windows of so many characters, at most WINDOWS of each of at
+#: most FIT_DOCS documents (those of smallest text hash), and on MADE_UP sentences.
+FIT_WINDOW, FIT_DOCS, WINDOWS, MADE_UP = 96, 400, 12, 4000
 #: Windows run through the network side by side.
-BLOCK = 1024
+BLOCK = 512
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
@@ -36,7 +37,6 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_ANCHOR = re.compile(r"[0-9@]")
 
 Span = tuple[int, int, str]  # start, end, kind
 
@@ -78,11 +78,9 @@ def base_spans(text: str) -> list[Span]:
 
 
 def labelled_spans(text: str) -> list[Span]:
-    """What the network learns: the fixed patterns' spans and card-like numbers
-    whatever their check digit, without overlaps."""
+    """Base spans without overlaps: what the network learns from documents."""
     out: list[Span] = []
-    more = [(m.start(), m.end(), "card") for m in _CARD.finditer(text) if 15 <= len(re.sub("[^0-9]", "", m[0])) <= 19]
-    for s in base_spans(text) + more:
+    for s in base_spans(text):
         if all(s[1] <= o[0] or s[0] >= o[1] for o in out):
             out.append(s)
     return sorted(out)
@@ -100,6 +98,7 @@ def char_numbers(text: str) -> np.ndarray:
     plain = (code >= 32) & (code < 127)
     out[plain] = code[plain] - 32
     out[code < 32] = 97
+    out[(code >= 0x2000) | (code >= 127) & (code < 0xC0)] = 99  # no letter, mostly
     return out
 
 
@@ -149,12 +148,65 @@ class Network:
             keep.append(both)
         return (both @ self.p["out"] + self.p["bias"]).transpose(1, 0, 2)
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """``emissions`` of windows (T, n), as (TAGS, T, n), without what training needs."""
+        size, n = x.shape
+        p = self.p
+        out = np.repeat(p["bias"].astype(np.float32)[:, None], size * n, axis=1)
+        for k, d in enumerate("fb"):
+            # sigmoid(a) = (tanh(a / 2) + 1) / 2, so one tanh serves all gates.
+            half = np.repeat(np.float32([0.5, 1]), [3 * HIDDEN, HIDDEN])
+            w_in, w_h = (p["embed"] @ p[d + "x"] + p[d + "0"]) * half, np.ascontiguousarray(p[d + "h"] * half)
+            h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+            z, z_in = np.empty((n, 4 * HIDDEN), np.float32), np.empty((n, 4 * HIDDEN), np.float32)
+            states = np.empty((size, n, HIDDEN), np.float32)
+            for t in range(size) if d == "f" else range(size - 1, -1, -1):
+                np.take(w_in, x[t], axis=0, out=z_in, mode="clip")
+                np.matmul(h, w_h, out=z)
+                z += z_in
+                np.tanh(z, out=z)
+                gates = z[:, : 3 * HIDDEN]
+                gates *= 0.5
+                gates += 0.5
+                c *= z[:, HIDDEN : 2 * HIDDEN]
+                c += z[:, :HIDDEN] * z[:, 3 * HIDDEN :]
+                np.multiply(z[:, 2 * HIDDEN : 3 * HIDDEN], np.tanh(c), out=h)
+                states[t] = h
+            out += p["out"][k * HIDDEN : (k + 1) * HIDDEN].T @ states.reshape(-1, HIDDEN).T
+        return out.reshape(TAGS, size, n)
+
+    def spotted(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows (T, n) that the best path doesn't pass outside of all spans, and its
+        tags there. What one span can gain over staying outside is found first, kind by
+        kind; a window in which no span can gain needs no search for the best path. (A
+        span that follows another at once counts what it saves that one's end.)"""
+        scores, moves = self.scores(x), self.moves() - self.p["moves"][0, 0]
+        scores[1:] -= scores[0]
+        out = moves[1:, 0]
+        enter = np.maximum(moves[0, 1::2], (moves[1:, 1::2] - out[:, None]).max(axis=0))[:, None]
+        b = np.arange(1, TAGS, 2)
+        go, stay = moves[b, b + 1][:, None], moves[b + 1, b + 1][:, None]
+        end_b, end_i = (np.maximum(out[k::2], 0)[:, None] for k in (0, 1))  # a text may end inside
+        begun = held = np.full((len(KINDS), x.shape[1]), -1e4, np.float32)
+        most = begun.copy()
+        for t in range(len(x)):
+            held = np.maximum(begun + go, held + stay)
+            held += scores[2::2, t]
+            begun = scores[1::2, t] + (np.maximum(enter, 0) if t == 0 else enter)
+            np.maximum(most, begun + end_b, out=most)
+            np.maximum(most, held + end_i, out=most)
+        scores[1:] += scores[0]
+        maybe = np.flatnonzero(most.max(axis=0) >= -1e-2)
+        tags = self.best(np.ascontiguousarray(scores[:, :, maybe].transpose(2, 1, 0)))
+        some = tags.any(axis=1)
+        return maybe[some], tags[some]
+
     def moves(self) -> np.ndarray:
         return np.where(forbidden(), np.float32(-1e4), self.p["moves"])
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """The most probable tags of every window (Viterbi)."""
-        scores, moves = self.emissions(x), self.moves()
+    def best(self, scores: np.ndarray) -> np.ndarray:
+        """The most probable tags (Viterbi) for scores (n, T, TAGS)."""
+        moves = self.moves()
         n, size, _ = scores.shape
         best = scores[:, 0].copy()
         best[:, 2::2] = -1e4
@@ -227,53 +279,86 @@ def _tags(size: int, spans: list[Span], at: int = 0) -> np.ndarray:
     return out
 
 
-def _made_up(rng: np.random.Generator, n: int) -> list[tuple[str, list[Span]]]:
-    """Labelled examples of every kind in made-up surroundings, and digits that are
-    no personal data."""
-    letters = "abcdefghijklmnopqrstuvwxyzéñüß"
+def made_up(rng: np.random.Generator, n: int, words: list[str]) -> list[tuple[str, list[Span]]]:
+    """Sentences of ``words`` with one labelled span of any kind, in forms that the fixed
+    patterns know and in forms that they don't, or with what only looks like one."""
+
+    def pick(*of):
+        return of[rng.integers(len(of))]
 
     def word() -> str:
-        return "".join(letters[i] for i in rng.integers(len(letters), size=rng.integers(2, 9)))
+        return words[rng.integers(len(words))]
 
     def digits(k: int) -> str:
         return "".join(map(str, rng.integers(10, size=k)))
 
+    def plain() -> str:
+        return re.sub("[^a-z0-9]", "", word().lower())
+
+    def name() -> str:
+        return plain() + pick("", "", ".", "_") + pick(plain(), digits(2), "")
+
     out = []
     for _ in range(n):
-        kind = rng.integers(6)
+        kind, cue = int(rng.integers(9)), ""
+        host, end = plain() or "host", pick("com", "org", "net", "de", "io")
+        user = name().strip("._") or "user"
         if kind == 0:
-            x, label = f"{word()}{'.' if rng.random() < 0.5 else ''}{digits(rng.integers(0, 3))}@{word()}.{['com', 'org', 'example.com', 'net'][rng.integers(4)]}", "email"
-        elif kind == 1:
-            x, label = ".".join(str(v) for v in rng.integers(256, size=4)), "ip"
-        elif kind == 2:
-            sep = ["", " ", "-"][rng.integers(3)]
-            x, label = sep.join(digits(4) for _ in range(4)), "card"
+            x, label = f"{user}@{host}.{end}", "email"
+        elif kind in (1, 2):
+            at, dot = pick((" at ", " dot "), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" AT ", " DOT "), (" (at) ", "."), ("[at]", "."), (" @ ", " . "))
+            cue = pick("", "", "mail ", "write to ", "contact: ")
+            x, label = f"{user}{at}{host}{dot}{end}", "email"
         elif kind == 3:
-            x = [f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(6)}", f"({digits(3)}) {digits(3)}-{digits(4)}"][rng.integers(3)]
-            label = "phone"
+            dot = pick(".", "[.]", " . ", "(.)")
+            x, label = dot.join(str(v) for v in rng.integers(256, size=4)), "ip"
         elif kind == 4:
-            x, label = [digits(rng.integers(1, 7)), f"{digits(1)}.{digits(2)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}"][rng.integers(4)], None
+            x, label = pick(" ", "-", ".", "/", "_").join(pick("4", "5", "37")[:1] + digits(3) if i == 0 else digits(4) for i in range(4)), "card"
+        elif kind == 5:
+            x, label = pick(f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(6)}"), "phone"
+        elif kind == 6:
+            cue = pick("call ", "tel ", "tel. ", "phone: ", "phone ", "fax ", "mobile ")
+            x, label = pick(f"({digits(3)}) {digits(3)}-{digits(4)}", f"0{digits(3)} {digits(3)} {digits(4)}", f"0{digits(3)}/{digits(6)}", f"{digits(3)}-{digits(3)}-{digits(4)}"), "phone"
+        elif kind == 7:
+            x = pick(digits(int(rng.integers(1, 8))), f"{digits(1)}.{digits(2)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(2)}", f"{word()}{digits(3)}", f"{digits(2)},{digits(3)},{digits(3)}")
+            if rng.random() < 0.4:  # keys and hashes
+                x = pick('"', "", "") + "".join("0123456789abcdef"[i] for i in rng.integers(16, size=int(rng.integers(8, 41))))
+            label = None
         else:
-            x, label = f"{word()}{digits(rng.integers(1, 4))}", None
-        before = " ".join(word() for _ in range(rng.integers(0, 7))) + " "
-        text = before + x + " " + " ".join(word() for _ in range(6))
+            x, label = pick(f"{word()} at {word()}", f"{word()} dot {word()}", f"at {word()} {word()}", f"the {word()} at the {word()}.", f"{word()} (and {word()})", f"@{word()}", f"[{word()}]", " ".join([word()] * int(rng.integers(2, 12))), f"{word()}. {word()[:2]} {word()}. {word()}"), None
+        before = " ".join(word() for _ in range(rng.integers(0, 9))) + pick(" ", " ", "\n", ": ") + cue
+        text = before + x + pick(" ", " ", ", ", ". ", "\n", "") + " ".join(word() for _ in range(rng.integers(0, 9)))
         out.append((text, [(len(before), len(before) + len(x), label)] if label else []))
     return out
 
 
-def train(texts: list[str], steps: int = 260, batch: int = 64, seed: int = 5) -> Network:
-    """Adam on windows around anchors of ``texts`` (labelled by ``labelled_spans``)
-    and of made-up examples."""
+def fit_windows(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Characters and tags of at most WINDOWS windows of a document: around base spans,
+    spread over all of them, and then anywhere, spread over the text."""
+    spans = labelled_spans(text)
+    near = spans[:: max(1, -(-len(spans) * 2 // WINDOWS))]
+    starts = [(a + b - FIT_WINDOW) // 2 + (13 * i) % 31 - 15 for i, (a, b, _) in enumerate(near)]
+    free = WINDOWS - len(starts)
+    starts += [i * max(1, len(text) - FIT_WINDOW) // free for i in range(free)]
+    numbers = char_numbers(text)
+    return [(_window(numbers, at), _tags(FIT_WINDOW, spans, at)) for at in dict.fromkeys(starts)] if text else []
+
+
+def _window(numbers: np.ndarray, at: int) -> np.ndarray:
+    out = np.full(FIT_WINDOW, PAD)
+    a, b = max(at, 0), min(at + FIT_WINDOW, len(numbers))
+    if a < b:
+        out[a - at : b - at] = numbers[a:b]
+    return out
+
+
+def train(windows: list[tuple[np.ndarray, np.ndarray]], words: list[str], steps: int = 800, batch: int = 64, seed: int = 5) -> Network:
+    """Adam on labelled windows of documents and on made-up sentences of their ``words``,
+    half of each batch from either."""
     rng = np.random.default_rng(seed)
-    xs, ys = [], []
-    examples = [(t, labelled_spans(t)) for t in texts] + _made_up(rng, 1200)
-    for text, spans in examples:
-        numbers = char_numbers(text)
-        for at in window_starts(text):
-            if len(xs) < FIT_WINDOWS:
-                xs.append(_window(numbers, at))
-                ys.append(_tags(WINDOW, spans, at))
-    x, y = np.stack(xs), np.stack(ys)
+    sentences = [(_window(char_numbers(t), at), _tags(FIT_WINDOW, spans, at)) for t, spans in made_up(rng, MADE_UP, words or ["word"]) for at in [int(rng.integers(-8, max(1, len(t) - FIT_WINDOW // 2)))]]
+    x, y = (np.stack([w[i] for w in sentences + windows]) for i in (0, 1))
+    known = len(sentences)
 
     def init(*shape: int) -> np.ndarray:
         return (rng.standard_normal(shape) * np.sqrt(1 / shape[0])).astype(np.float32)
@@ -284,7 +369,8 @@ def train(texts: list[str], steps: int = 260, batch: int = 64, seed: int = 5) ->
     net = Network(p)
     first, second = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     for step in range(1, steps + 1):
-        rows = rng.integers(len(x), size=batch)
+        rows = rng.integers(known, size=batch // 2)
+        rows = np.concatenate([rows, rng.integers(known, len(x), size=batch - batch // 2) if len(x) > known else rows])
         rate = 0.02 * min(1, step / 20) * (1 - step / (steps + 1)) ** 0.5
         for k, g in _gradients(net, x[rows], y[rows]).items():
             g = np.clip(g, -1, 1)
@@ -297,89 +383,62 @@ def train(texts: list[str], steps: int = 260, batch: int = 64, seed: int = 5) ->
 # --- whole texts -----------------------------------------------------------
 
 
-def window_starts(text: str) -> list[int]:
-    """Starts of overlapping windows over all that is within CONTEXT of an anchor."""
-    out, begin, reach = [], None, 0
-    for m in _ANCHOR.finditer(text):
-        if begin is not None and m.start() - CONTEXT > reach:
-            out += range(begin, max(begin + 1, reach - STRIDE), STRIDE)
-            begin = None
-        if begin is None:
-            begin = m.start() - CONTEXT
-        reach = m.start() + CONTEXT
-    if begin is not None:
-        out += range(begin, max(begin + 1, reach - STRIDE), STRIDE)
+def window_starts(size: int) -> list[int]:
+    """Starts of overlapping windows over a text; the last one ends with it."""
+    if size <= WINDOW:
+        return [0] if size else []
+    return [*range(0, size - WINDOW, WINDOW - OVERLAP), size - WINDOW]
+
+
+def reconciled(text: str, starts: list[int], tags: dict[int, np.ndarray]) -> list[Span]:
+    """Spans of the whole text from the tags of its windows (by place in ``starts``;
+    others lie outside of all spans). Windows that overlap share the overlap by halves."""
+    label = np.zeros(len(text), np.int8)
+    for k, row in tags.items():
+        a = starts[k]
+        low = 0 if k == 0 else (starts[k - 1] + WINDOW + a) // 2
+        high = len(text) if k == len(starts) - 1 else (a + WINDOW + starts[k + 1]) // 2
+        label[low:high] = row[low - a : high - a]
+    out, at = [], 0
+    places = np.flatnonzero(label)
+    while at < len(places):
+        begin = end = int(places[at])
+        kind = (label[begin] - 1) // 2
+        at += 1
+        while at < len(places) and places[at] == end + 1 and label[end + 1] == 2 + 2 * kind:
+            end, at = end + 1, at + 1
+        stretch = text[begin : end + 1]
+        if found := stretch.strip():
+            begin += len(stretch) - len(stretch.lstrip())
+            out.append((begin, begin + len(found), KINDS[kind]))
     return out
 
 
-def _window(numbers: np.ndarray, at: int) -> np.ndarray:
-    out = np.full(WINDOW, PAD)
-    a, b = max(at, 0), min(at + WINDOW, len(numbers))
-    if a < b:
-        out[a - at : b - at] = numbers[a:b]
-    return out
-
-
-_CENTRAL = (WINDOW // 2 - np.abs(np.arange(WINDOW) - (WINDOW - 1) / 2)).astype(np.float32)
-
-
-def _plausible(text: str, kind: str) -> bool:
-    digits = len(_DIGITS.findall(text))
-    if kind == "email":
-        return "@" in text and len(text) > 4
-    if kind == "ip":
-        return len(parts := re.split(r"\D+", text)) == 4 and all(0 < len(x) <= 3 and int(x) <= 255 for x in parts)
-    if re.search(r"[^\x20().0-9+-]", text):
-        return False
-    return 13 <= digits <= 19 if kind == "card" else 9 <= digits <= 15
-
-
-def reconciled(text: str, starts: list[int], tags: np.ndarray) -> list[Span]:
-    """Spans of the whole text from the tags of its windows."""
-    label: dict[int, int] = {}
-    weight: dict[int, float] = {}
-    for at, row in zip(starts, tags, strict=True):
-        for i in range(max(0, -at), min(WINDOW, len(text) - at)):
-            if _CENTRAL[i] > weight.get(at + i, 0):
-                weight[at + i], label[at + i] = _CENTRAL[i], int(row[i])
-    out, kind, begin, last = [], -1, 0, -2
-    for at in [*sorted(label), len(text) + 1]:
-        tag = label.get(at, 0)
-        k = (tag - 1) // 2 if tag else -1
-        if k != kind or at != last + 1 or tag and tag % 2:
-            if kind >= 0:
-                out.append((begin, last + 1, KINDS[kind]))
-            begin, kind = at, k
-        last = at
-    trimmed = []
-    for a, b, k in out:
-        while a < b and text[a].isspace():
-            a += 1
-        while a < b and text[b - 1].isspace():
-            b -= 1
-        if a < b and _ANCHOR.search(text, a, b) and _plausible(text[a:b], k):
-            trimmed.append((a, b, k))
-    return trimmed
-
-
 def find_all(texts: list[str], net: Network) -> list[tuple[list[Span], list[Span]]]:
     """For each text: base spans, and all spans. The network's spans are added where
-    they overlap no base span."""
-    places = [(i, at) for i, t in enumerate(texts) for at in window_starts(t)]
-    numbers = {i: char_numbers(texts[i]) for i in {i for i, _ in places}}
-    found: dict[int, list] = {}
-    for at in range(0, len(places), BLOCK):
-        part = places[at : at + BLOCK]
-        for (i, a), tags in zip(part, net.decode(np.stack([_window(numbers[i], a) for i, a in part])), strict=True):
-            found.setdefault(i, []).append((a, tags))
+    they overlap no base span. What a text gives doesn't depend on the others."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    numbers = np.append(char_numbers("".join(texts)).astype(np.uint8), np.full(WINDOW, PAD, np.uint8))
+    starts = [window_starts(len(t)) for t in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(x) for x in starts])
+    place = np.array([a for x in starts for a in x], np.int64)
+    first = np.concatenate([[0], np.cumsum([len(x) for x in starts])])
+    found: dict[int, dict[int, np.ndarray]] = {}
+    for at in range(0, len(place), BLOCK):
+        own, a = owner[at : at + BLOCK], place[at : at + BLOCK]
+        index = (begins[own] + a)[None, :] + np.arange(WINDOW)[:, None]
+        x = np.where(index < (begins + sizes)[own], numbers[np.minimum(index, len(numbers) - 1)], PAD)
+        for k, tags in zip(*net.spotted(x), strict=True):
+            i = int(own[k])
+            found.setdefault(i, {})[at + int(k) - int(first[i])] = tags
     out = []
     for i, text in enumerate(texts):
         base = base_spans(text)
         spans = list(base)
-        if i in found:
-            for s in reconciled(text, [a for a, _ in found[i]], np.stack([t for _, t in found[i]])):
-                if all(s[1] <= b[0] or s[0] >= b[1] for b in base):
-                    spans.append(s)
+        for s in reconciled(text, starts[i], found[i]) if i in found else []:
+            if all(s[1] <= b[0] or s[0] >= b[1] for b in base):
+                spans.append(s)
         out.append((base, sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))))
     return out
 
@@ -389,10 +448,26 @@ def listed(spans: list[Span]) -> str:
 
 
 def learn(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Network:
-    """Trained on at most ``fit_docs`` documents with a digit or an at sign, those of
-    smallest hash."""
-    rows = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    return train([r.text for r in rows.orderBy(F.xxhash64("text"), "text").limit(fit_docs).collect()])
+    """Trained on at most WINDOWS windows of each of at most ``fit_docs`` documents, those
+    of smallest text hash, and on made-up sentences of their words. Texts are not
+    collected: the hashes are chosen first, and executors cut the windows.
+
+    Null and empty texts give no windows, equal texts count once, and an empty table
+    leaves the made-up sentences.
+    """
+    texts = docs.select(F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text")).where("text <> ''")
+    chosen = texts.select("h").distinct().orderBy("h").limit(fit_docs)
+
+    def kernel(batch: pa.RecordBatch) -> dict[str, object]:
+        rows = []
+        for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = " ".join(text[:4000].split()[:40])
+            rows.append((h, np.stack([np.stack(w) for w in fit_windows(text)]).astype(np.uint8).tobytes(), words))
+        return dict(zip(("h", "windows", "words"), map(list, zip(*rows, strict=True)), strict=True))
+
+    rows = map_batches(texts.join(F.broadcast(chosen), "h"), kernel, "h long, windows binary, words string", 1).dropDuplicates(["h"]).orderBy("h").collect()
+    windows = [(w[0].astype(np.int64), w[1].astype(np.int64)) for r in rows for w in np.frombuffer(r.windows, np.uint8).reshape(-1, 2, FIT_WINDOW)]
+    return train(windows, sorted({w[:20] for r in rows for w in r.words.split()}))
 
 
 def personal_data(docs: DataFrame, net: Network) -> DataFrame:
@@ -400,7 +475,7 @@ def personal_data(docs: DataFrame, net: Network) -> DataFrame:
 
     The counts and the hash are of the fixed patterns' spans, ``spans`` lists those
     and the network's, by start and then kind, as kind:start:end in code points.
-    The whole text is searched; null and empty texts have no spans. Null ids,
+    The patterns and the network read the whole text; null and empty texts have no spans. Null ids,
     repeated rows and extra columns change nothing; an empty table gives none. Rows
     are searched where they are read; only the weights travel.
     """
