@@ -42,3 +42,30 @@ def test_any_text_survives(key, text):
     quoted = '"' + re.sub(r'(["\\])', r"\\\1", text) + '"'
     name, tags, fields, _ = parse_line(f"m,k={esc} f={quoted} 1")
     assert tags == {"k": key} and fields["f"]["s"] == text
+
+
+def test_plain_and_odd_lines_agree_with_the_parser(spark):
+    """Whatever path a line takes, it gives what the parser of single lines gives."""
+    from tidegauge.sources.line_protocol import _plain_points, parse_line, parsed
+
+    lines = [
+        "cpu,host=a value=1.5 1000000000", "cpu value=1", 'cpu,host=a,dc=x v=1i,w=-2.5e3,s="a \\"b\\" , c = d",t=true,u=F 77', 'm s="x 12"', 'm s="x 12" 13', "m v=.5,w=1.,x=+3 -5", "  m   v=1    9  ", "m v=1 9\r",
+        "a\\ b,k\\,1=v\\=2 f\\ 1=1 5", 'm tag="x",v=1 5', "m,a=1,a=2 v=1 5", "m v=1,v=2 5", "m,a= v=1 5", "# no", "", "   ", "m", "m v=", "m v=abc 1", "m v=99999999999999999999i 1", "m v=1 99999999999999999999", 'm v="open 1', "m,a v=1 1", ",a=1 v=1 1",
+        "m,h=é v=1,ü=2 3", "m v=1\t2", "m v=1 2 3", 'm s="\\\\" 4', 'm s="' + "x" * 5000 + '" 6', "m v=1e400 1", "m v=NaN 1", "m v=T,w=False 1", "m v=9223372036854775807i 8",
+    ]
+    df = spark.createDataFrame([(x, i) for i, x in enumerate(lines)], "value string, line bigint")
+    for multiplier, precision in ((1, "ns"), (1_000_000_000, "s")):
+        got = {r.line: r for r in parsed(df, precision, 42).collect()}
+        for i, x in enumerate(lines):
+            try:
+                want = parse_line(x, multiplier, 42)
+            except ValueError:
+                assert got[i].error, x
+                continue
+            if want is None:
+                assert i not in got, x
+                continue
+            r = got[i]
+            assert (r.measurement, r.tags, {k: v.asDict() for k, v in r.fields.items()}, r.time_ns, r.error) == (*want, None), x
+    taken = {r.line for r in _plain_points(df, 1, 42).where("plain").collect()}
+    assert {0, 1, 2, 3, 4, 5, 6, 7} <= taken

@@ -147,9 +147,55 @@ def _first_plain(text: str, stop: str) -> int:
     return -1
 
 
+# Lines that need no look at single characters: names without escapes, quotes and equals
+# signs, literals that are valid and in range.
+_NAME = r"[^,\s\\=\"]+"
+_TEXT = r"\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\""
+_FIELD = rf"{_NAME}=(?:{_TEXT}|[+-]?\d{{1,18}}i|[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:t|true|f|false))"
+_STAMP = r" +(-?\d+)$"
+#: Longer lines are read in Python: a pattern may need stack for every escaped character.
+PLAIN_CHARS = 4000
+
+
+def _plain_points(lines: DataFrame, multiplier: int, now_ns: int | None) -> DataFrame:
+    """``lines`` with ``text`` (the trimmed line), ``plain`` and, for plain lines, the
+    columns of a point. All in Spark's own functions."""
+    text = F.expr("trim(BOTH ' ' FROM trim(TRAILING '\\r\\n' FROM value))")
+    digits = 20 - len(str(multiplier))
+    shape = rf"^{_NAME}(?:,{_NAME}={_NAME})* +{_FIELD}(?:,{_FIELD})*(?: +-?\d{{1,{digits}}}){'' if now_ns is None else '?'}$"
+    out = lines.withColumn("text", text).withColumn("head", F.substring_index("text", " ", 1))
+    out = out.withColumn("stamp", F.regexp_extract("text", _STAMP, 1))
+    out = out.withColumn("at", F.when(F.col("stamp") != "", F.try_multiply(F.col("stamp").try_cast("bigint"), F.lit(multiplier).cast("bigint"))).otherwise(F.lit(now_ns).cast("bigint")))
+    out = out.withColumn("pairs", F.regexp_extract_all("text", F.lit(rf"(?<=[ ,]){_FIELD}(?=[ ,]|$)"), F.lit(0)))
+    out = out.withColumn("tags_", F.transform(F.slice(F.split("head", ","), 2, 1 << 30), lambda t: F.struct(F.substring_index(t, "=", 1).alias("key"), F.substring_index(t, "=", -1).alias("value"))))
+    out = out.withColumn("names", F.transform("pairs", lambda x: F.substring_index(x, "=", 1)))
+    alone = (F.size(F.array_distinct("names")) == F.size("names")) & (F.size(F.array_distinct("tags_.key")) == F.size("tags_"))
+    named = (F.size("tags_") == 0) & F.array_contains("names", "tag")  # a field that becomes a tag
+    plain = (F.length("text") <= PLAIN_CHARS) & F.col("text").rlike(shape) & alone & ~named & F.col("at").isNotNull()
+    out = out.withColumn("plain", F.coalesce(plain, F.lit(False)))
+
+    def field(x: Column) -> Column:
+        raw = F.substring(x, F.instr(x, F.lit("=")) + 1, F.length(x))
+        none = {k: F.lit(None).cast(t) for k, t in (("kind", "string"), ("f", "double"), ("i", "bigint"), ("b", "boolean"), ("s", "string"))}
+
+        def value(kind: str, at: str, v: Column) -> Column:
+            return F.struct(*(y.alias(k) for k, y in (none | {"kind": F.lit(kind), at: v}).items()))
+
+        inner = F.substring(raw, F.lit(2), F.length(raw) - 2)
+        typed = (
+            F.when(F.startswith(raw, F.lit('"')), value("string", "s", F.regexp_replace(inner, r'\\(["\\])', "$1"))).when(F.endswith(raw, F.lit("i")), value("integer", "i", F.substring(raw, F.lit(1), F.length(raw) - 1).try_cast("bigint")))
+            .when(F.lower(raw).isin("t", "true", "f", "false"), value("boolean", "b", F.startswith(F.lower(raw), F.lit("t")))).otherwise(value("float", "f", raw.try_cast("double")))
+        )
+        return F.struct(F.substring_index(x, "=", 1).alias("key"), typed.alias("value"))
+
+    point = {"measurement": F.substring_index("head", ",", 1), "tags": F.map_from_entries("tags_"), "fields": F.map_from_entries(F.transform("pairs", field)), "time_ns": F.col("at")}
+    return out.select("value", "line", "text", "plain", *(F.when(F.col("plain"), x).alias(n) for n, x in point.items()))
+
+
 def parsed(lines: DataFrame, precision: str = "ns", now_ns: int | None = None) -> DataFrame:
     """Points of a frame of lines (value, line); ``error`` is set on lines that are
-    no points. Lines without a time get ``now_ns``."""
+    no points. Lines without a time get ``now_ns``. Plain lines are parsed in Spark's own
+    functions, those with escaped names, errors and other oddities one by one in Python."""
     if precision not in PRECISIONS:
         raise QueryError(f"unknown precision {precision}")
     multiplier = PRECISIONS[precision]
@@ -167,7 +213,10 @@ def parsed(lines: DataFrame, precision: str = "ns", now_ns: int | None = None) -
                         rows.append((p[0], p[1], p[2], p[3], number, None))
             yield pd.DataFrame(rows, columns=["measurement", "tags", "fields", "time_ns", "line", "error"]).astype({"time_ns": "Int64", "line": "Int64"})
 
-    return lines.select("value", "line").mapInPandas(run, SCHEMA)
+    each = _plain_points(lines.select("value", "line"), multiplier, now_ns)
+    plain = each.where("plain").select("measurement", "tags", "fields", "time_ns", "line", F.lit(None).cast("string").alias("error"))
+    odd = each.where("not plain and text <> '' and not startswith(text, '#')").select("value", "line").mapInPandas(run, SCHEMA)
+    return plain.union(odd)
 
 
 def _escaped(x: Column, extra: str = ",= ") -> Column:
