@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: A batch handed to the numpy kernels holds about this many bytes of text;
 #: one longer text makes a batch of its own.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 
 

@@ -183,7 +183,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
                 _matchers.clear()
                 matcher = _matchers[key] = Matcher(shared.value, rate)
             for batch in batches:
-                for part in slices(batch, text_at, 8_000_000):
+                for part in slices(batch, text_at, 2_000_000):
                     had = part.select(list(ADDED)).to_pydict()
                     for i, text in enumerate(part.column(text_at).to_pylist()):
                         if found := matcher.matches(text):

@@ -19,7 +19,7 @@ FIT_ROWS = 6_000
 #: A document stays if its probability of the best grade is at least this.
 LEAST_TAIL = 0.5
 #: Words whose features a Python worker remembers.
-CACHED = 300_000
+CACHED = 40_000
 _cache: dict[str, tuple[int, ...]] = {}
 
 
@@ -176,7 +176,7 @@ def grade(docs: DataFrame, model: Ordinal, least_tail: float = LEAST_TAIL) -> Da
         return {c: batch.column(i) for i, c in enumerate(names)} | {"expected_grade": tails.sum(axis=1), "p_best": best, "accepted": best >= least_tail}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema) + ", expected_grade double, p_best double, accepted boolean"
-    return map_batches(slim, kernel, schema, text_at, 8_000_000)
+    return map_batches(slim, kernel, schema, text_at, 2_000_000)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
