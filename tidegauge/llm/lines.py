@@ -70,6 +70,13 @@ def _ordered(tokens: Column, ranks: Column) -> Column:
     return F.sort_array(F.transform(tokens, number))
 
 
+def _parity(tokens: str) -> Column:
+    """64 bits: of how many tokens each is the hash, odd or even. As many bits as two sets
+    differ in, so many tokens at least are in one of them alone."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
+
+
 def _row_hash() -> Column:
     """128 bits of a row's text."""
     return F.unhex(F.md5(F.col("text").cast("string")))
@@ -87,7 +94,7 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     ordered = _with_tokens(lines.select(u, "low"), words).withColumn("tokens", _ordered(F.col("tokens"), _rarity(lines.select("low"), words)))
     n = F.size("tokens")
     prefix = F.slice("tokens", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1)
-    prefixes = stored(ordered.select("u", n.alias("n"), F.posexplode(prefix).alias("i", "t")), "prefixes")
+    prefixes = stored(ordered.select("u", n.alias("n"), _parity("tokens").alias("bits"), F.posexplode(prefix).alias("i", "t")), "prefixes")
     every = stored(lines.select("d", "c", "p", u, v), "lines")
     firsts = stored(every.groupBy("u", "v").agg(F.min(F.struct("d", "c", "p")).alias("o"), F.count("*").alias("times")), "firsts")
     met = stored(prefixes.groupBy("t").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high").select("t"), "met")
@@ -97,9 +104,10 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     members = stored(shared.join(names, "u"), "members")
     discard(shared)
 
-    def can_reach(n1: str, i1: str, n2: str, i2: str) -> Column:
+    def can_reach(n1: str, i1: str, bits1: str, n2: str, i2: str, bits2: str) -> Column:
+        """The length and positional filters, and what the sets' parities leave for the overlap."""
         need = f"({percent} * (cast({n1} as long) + {n2})) / {100 + percent}.0"  # overlap that the threshold asks for
-        return F.expr(f"100 * cast({n1} as long) >= {percent} * cast({n2} as long) and 100 * cast({n2} as long) >= {percent} * cast({n1} as long) and 1 + least({n1} - 1 - {i1}, {n2} - 1 - {i2}) >= {need} - 1e-9")
+        return F.expr(f"100 * cast({n1} as long) >= {percent} * cast({n2} as long) and 100 * cast({n2} as long) >= {percent} * cast({n1} as long) and 1 + least({n1} - 1 - {i1}, {n2} - 1 - {i2}) >= {need} - 1e-9 and (cast({n1} as long) + {n2} - bit_count({bits1} ^ {bits2})) / 2.0 >= {need} - 1e-9")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(u, v) of the later lines of ``pairs`` (a, b) that reach the threshold. Sets
@@ -120,13 +128,13 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     # First each line against the earliest of each of its prefix tokens, which settles
     # a group of near copies in as many pairs as it has lines.
-    first = members.groupBy("t").agg(F.min(F.struct("o", "u", "n", "i")).alias("x")).select("t", F.col("x.u").alias("a"), F.col("x.n").alias("na"), F.col("x.i").alias("ia"))
-    star = stored(members.join(first, "t").where("u <> a").where(can_reach("n", "i", "na", "ia")).select("a", F.col("u").alias("b")).distinct(), "star")
+    first = members.groupBy("t").agg(F.min(F.struct("o", "u", "n", "i", "bits")).alias("x")).select("t", F.col("x.u").alias("a"), F.col("x.n").alias("na"), F.col("x.i").alias("ia"), F.col("x.bits").alias("bits_a"))
+    star = stored(members.join(first, "t").where("u <> a").where(can_reach("n", "i", "bits", "na", "ia", "bits_a")).select("a", F.col("u").alias("b")).distinct(), "star")
     gone = verified(star)
     # Then what is left against all earlier lines that share a prefix token.
-    left = members.join(gone, ["u", "v"], "left_anti").select("t", "o", F.col("u").alias("b"), "n", "i")
-    earlier = members.select("t", F.col("o").alias("oa"), F.col("u").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    rest = left.join(earlier, "t").where("oa < o and a <> b").where(can_reach("n", "i", "na", "ia")).select("a", "b").distinct()
+    left = members.join(gone, ["u", "v"], "left_anti").select("t", "o", F.col("u").alias("b"), "n", "i", "bits")
+    earlier = members.select("t", F.col("o").alias("oa"), F.col("u").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("bits").alias("bits_a"))
+    rest = left.join(earlier, "t").where("oa < o and a <> b").where(can_reach("n", "i", "bits", "na", "ia", "bits_a")).select("a", "b").distinct()
     rest = stored(rest.join(star, ["a", "b"], "left_anti"), "rest")
     discard(members, star)
     more = verified(rest)
@@ -157,7 +165,9 @@ def dedup_lines(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     documents of their own. Empty tables give empty ones.
 
     Scale: only prefixes (about a fifth of the tokens) are stored and counted, and only
-    those that two lines share go further; token sets are fetched for the lines of
+    those that two lines share go further. 64 parity bits of a line's whole set bound the
+    overlap of two lines, so lines that share a token by chance are no candidates, and
+    candidates grow with the near copies there are; token sets are fetched for the lines of
     candidate pairs alone. A hot group of similar lines is first held against its
     earliest line. Tables go as soon as their readers are written. A document's own
     positions are the only thing that is gathered.
