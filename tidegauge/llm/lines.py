@@ -1,10 +1,13 @@
-"""Operator 3, line deduplication: an exact set-similarity join over lines, in
-DataFrame functions alone.
+"""Operator 3, line deduplication: an exact set-similarity join over lines.
 
 Tokens of a line are its 5-word shingles, ordered by rarity. Lines that share a
 token of their prefixes are paired if the length and positional filters let them
 reach the threshold, and are verified on their whole token sets.
 
+Lines are cut to tokens by numpy over Arrow batches, as Spark doesn't compile the
+lambdas that a native form needs (the README has the figures); pairing, verification
+and removal are DataFrame functions.
+
 A row of ``documents`` is known by its id (d) and the hash of its text (c), a line by
 two hashes of its lower-cased text (u, v) of 64 bits each. Candidates carry u alone;
 where two lines share it, both are verified.
@@ -12,69 +15,130 @@ where two lines share it, both are verified.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, marked, stored, table
+from .common import BATCH_BYTES, discard, free_name, map_batches, marked, mix, span_hashes, stored, string_buffers, table, word_spans
 
 #: Counters of the rarity sketch. The order they give is only a matter of speed.
 SKETCH = 1 << 16
-_SPACE = r"[\x20\x09-\x0D]+"
-
-
-def _words() -> Column:
-    """The words of ``low``, which has some. Single spaces are split at without a
-    pattern, which is faster; other lines are brought to that form."""
-    odd = F.startswith("low", F.lit(" ")) | F.endswith("low", F.lit(" "))
-    for x in ("  ", "\t", "\r", "\x0b", "\x0c"):
-        odd |= F.contains("low", F.lit(x))
-    return F.split(F.when(odd, F.trim(F.regexp_replace("low", _SPACE, " "))).otherwise(F.col("low")), " ")
-
-
-def _shingle(at: Column, words: int) -> Column:
-    """The hash of the words from ``at`` on; those past the line's end don't count."""
-    return F.xxhash64(*(F.get("w", at + k) for k in range(words)))
-
-
-def _with_tokens(lines: DataFrame, words: int) -> DataFrame:
-    """Column ``tokens`` from ``low``: distinct hashes of its shingles; of its whole
-    sequence if it is shorter. The words are a column of their own, else every shingle
-    would split the line anew."""
-    lines = lines.withColumn("w", _words())
-    last = F.greatest(F.size("w") - words, F.lit(0))
-    return lines.withColumn("tokens", F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: _shingle(i, words)))).drop("w", "low")
-
-
-def _rarity(lines: DataFrame, words: int) -> Column:
-    """An array of SKETCH ranks (0-127, in the highest byte) that rise with how often
-    tokens of that counter occur in all lines."""
-    lines = lines.select(_words().alias("w"))
-    # One row for each place, so that hashing stays in generated code. explode_outer:
-    # explode's filter on the size would be pushed below the split and run it again.
-    places = lines.select("w", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("w") - words, F.lit(0)))).alias("i"))
-    counts = places.groupBy(_shingle(F.col("i"), words).bitwiseAND(F.lit(SKETCH - 1)).alias("k")).agg(F.count("*").alias("n")).collect()
-    ranks = [0] * SKETCH
-    for k, n in counts:  # at most SKETCH rows
-        ranks[k] = min(127, 3 * n.bit_length()) << 56
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
-
-
-def _ordered(tokens: Column, ranks: Column) -> Column:
-    """Tokens as numbers that sort by rarity. None is null, so that Spark sorts them as
-    plain numbers."""
-
-    def number(token: Column) -> Column:
-        rank = F.coalesce(F.get(ranks, token.bitwiseAND(F.lit(SKETCH - 1)).cast("int")), F.lit(0))
-        return rank.bitwiseOR(token.bitwiseAND(F.lit((1 << 56) - 1)))
-
-    return F.sort_array(F.transform(tokens, number))
 
 
-def _parity(tokens: str) -> Column:
-    """64 bits: of how many tokens each is the hash, odd or even. As many bits as two sets
+def _parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The lines of a column of texts in parts of about BATCH_BYTES (a longer line is a
+    part of its own): bytes, offsets, and each line's text and position. A line's last
+    byte is its line feed; the empty line after a last line feed is left out."""
+    data, texts = string_buffers(column)
+    feeds = np.flatnonzero(data == 10) + 1
+    starts = np.union1d(texts[:-1], feeds)
+    starts = starts[starts < len(data)]
+    text = np.searchsorted(texts, starts, side="right") - 1
+    position = np.searchsorted(feeds, starts, side="right") - np.searchsorted(feeds, texts[text], side="right")
+    bounds = np.append(starts, len(data))
+    at = 0
+    while at < len(starts):
+        to = max(int(np.searchsorted(bounds, bounds[at] + BATCH_BYTES, side="right")) - 1, at + 1)
+        yield data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at], text[at:to], position[at:to]
+        at = to
+
+
+def _tokens(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of every line, repeated ones too, and their lines; the
+    whole sequence of a shorter line."""
+    start, end, line = word_spans(data, offsets)
+    hashes = span_hashes(data, start, end)
+    count = np.bincount(line, minlength=len(offsets) - 1)
+    stop = np.cumsum(count)[line]
+    place = np.arange(len(line))
+    out = hashes.copy()
+    for j in range(1, words):
+        go = np.flatnonzero(place + j < stop)
+        out[go] = mix(out[go] * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[go + j] + np.uint64(j))
+    keep = (place + words <= stop) | (place == stop - count[line])
+    return out[keep], line[keep]
+
+
+def _sets(tokens: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens sorted within their lines, each once, and their lines."""
+    order = np.argsort(tokens)
+    by = lines[order]
+    # numpy sorts 16-bit numbers by radix.
+    order = order[np.argsort(by.astype(np.uint16) if len(by) and by.max() < 1 << 16 else by, kind="stable")]
+    tokens, lines = tokens[order], lines[order]
+    fresh = np.ones(len(tokens), bool)
+    fresh[1:] = (tokens[1:] != tokens[:-1]) | (lines[1:] != lines[:-1])
+    return tokens[fresh], lines[fresh]
+
+
+def _rarity(texts: DataFrame, words: int) -> np.ndarray:
+    """SKETCH ranks (0-127) that rise with how often tokens of that counter occur in
+    all lines of ``texts`` (one column)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for data, offsets, _, _ in _parts(batch.column(0)):
+                tokens, _ = _tokens(data, offsets, words)
+                total += np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(total[k])], ["k", "n"])
+
+    ranks = np.zeros(SKETCH, np.uint8)
+    for k, n in texts.mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n")).collect():  # at most SKETCH rows
+        ranks[k] = min(127, 3 * n.bit_length())
+    return ranks
+
+
+def _hashed_lines(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(d, c, p, u, v, n, bits, prefix) for each line with words of ``docs`` (d, c, low):
+    the size of its token set, its prefix as numbers that sort by rarity, and 64 parity
+    bits: of how many tokens each is the hash, odd or even. As many bits as two sets
     differ in, so many tokens at least are in one of them alone."""
-    one = F.lit(1).cast("long")
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
+    ranks = _rarity(docs.select("low"), words)
+    kind = docs.schema["d"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, offsets, text, position in _parts(batch.column(2)):
+                tokens, line = _tokens(data, offsets, words)
+                if not len(tokens):
+                    continue
+                rank = ranks[tokens & np.uint64(SKETCH - 1)].astype(np.uint64)
+                tokens, line = _sets(rank << np.uint64(56) | tokens & np.uint64((1 << 56) - 1), line)
+                at = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+                own, n = line[at], np.diff(np.append(at, len(line)))
+                bits = np.bitwise_xor.reduceat(np.uint64(1) << (tokens & np.uint64(63)), at)
+                size = n - (n * percent + 99) // 100 + 1
+                prefix = tokens[np.arange(len(tokens)) - np.repeat(at, n) < np.repeat(size, n)]
+                ends = offsets[own + 1] - (data[offsets[own + 1] - 1] == 10)
+                raw = data.tobytes()
+                hashes = b"".join(hashlib.md5(raw[x:y], usedforsecurity=False).digest() for x, y in zip(offsets[own].tolist(), ends.tolist(), strict=True))
+                u, v = np.frombuffer(hashes, "<i8").reshape(-1, 2).T
+                rows = pa.array(text[own])
+                columns = [batch.column(0).take(rows), batch.column(1).take(rows), position[own].astype(np.int32), u.copy(), v.copy(), n.astype(np.int32), bits.view(np.int64)]
+                columns = [x if isinstance(x, pa.Array) else pa.array(x) for x in columns]
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(prefix.view(np.int64))))
+                yield pa.RecordBatch.from_arrays(columns, ["d", "c", "p", "u", "v", "n", "bits", "prefix"])
+
+    return docs.mapInArrow(run, f"d {kind}, c binary, p int, u long, v long, n int, bits long, prefix array<long>")
+
+
+def _with_sets(lines: DataFrame, words: int) -> DataFrame:
+    """(u, v, o, tokens) of ``lines`` (u, v, o, low): distinct hashes of the shingles."""
+
+    def kernel(batch: pa.RecordBatch) -> dict[str, object]:
+        data, offsets = string_buffers(batch.column(3))
+        tokens, line = _sets(*_tokens(data, offsets, words))
+        bounds = np.append(0, np.cumsum(np.bincount(line, minlength=batch.num_rows)))
+        sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))
+        return {"u": batch.column(0), "v": batch.column(1), "o": batch.column(2), "tokens": sets}
+
+    return map_batches(lines, kernel, f"u long, v long, o {lines.schema['o'].dataType.simpleString()}, tokens array<long>", 3)
 
 
 def _row_hash() -> Column:
@@ -86,20 +150,14 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(d, c, removed): for each id and text hash of ``docs`` (doc_id, text) with lines
     to remove, the sorted positions of those. See ``dedup_lines``."""
     docs = docs.select(F.col("doc_id").alias("d"), _row_hash().alias("c"), F.col("text").cast("string").alias("text"))
-    lines = docs.select("d", "c", F.posexplode(F.split("text", "\n")).alias("p", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    lines = lines.select("d", "c", "p", F.lower("line").alias("low"))
-    u, v = F.xxhash64("low").alias("u"), F.xxhash64(F.lit(7), "low").alias("v")
 
     # The prefixes of all lines, and the tokens that the prefixes of different lines share.
-    ordered = _with_tokens(lines.select(u, "low"), words).withColumn("tokens", _ordered(F.col("tokens"), _rarity(lines.select("low"), words)))
-    n = F.size("tokens")
-    prefix = F.slice("tokens", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1)
-    prefixes = stored(ordered.select("u", n.alias("n"), _parity("tokens").alias("bits"), F.posexplode(prefix).alias("i", "t")), "prefixes")
-    every = stored(lines.select("d", "c", "p", u, v), "lines")
+    every = stored(_hashed_lines(docs.select("d", "c", F.lower("text").alias("low")), words, percent), "lines")
+    prefixes = every.select("u", "n", "bits", F.posexplode("prefix").alias("i", "t"))
     firsts = stored(every.groupBy("u", "v").agg(F.min(F.struct("d", "c", "p")).alias("o"), F.count("*").alias("times")), "firsts")
     met = stored(prefixes.groupBy("t").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high").select("t"), "met")
     shared = stored(marked(prefixes, met, "t").join(met, "t").distinct(), "shared")
-    discard(prefixes, met)
+    discard(met)
     names = stored(shared.select("u").distinct().join(firsts.select("u", "v", "o"), "u"), "names")
     members = stored(shared.join(names, "u"), "members")
     discard(shared)
@@ -116,8 +174,10 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         wanted = stored(wanted, "wanted")
         # A line is read where it stands first, so one that stands in very many rows is
         # fetched once; rows that repeat both id and text are one.
-        texts = marked(lines.select(F.xxhash64("d", "c", "p").alias("place"), u, v, "low"), wanted, "place").dropDuplicates(["place", "u", "v"])
-        sets = stored(_with_tokens(texts.join(wanted, ["place", "u", "v"]).select("u", "v", "o", "low"), words), "sets")
+        lines = docs.select("d", "c", F.posexplode(F.split("text", "\n")).alias("p", "line")).withColumn("place", F.xxhash64("d", "c", "p"))
+        here = F.col("d").eqNullSafe(F.col("o.d")) & (F.col("c") == F.col("o.c")) & (F.col("p") == F.col("o.p"))
+        texts = marked(lines, wanted, "place").join(wanted, "place").where(here).dropDuplicates(["place", "u", "v"])
+        sets = stored(_with_sets(texts.select("u", "v", "o", F.lower("line").alias("low")), words), "sets")
         both = pairs.join(sets.toDF("a", "va", "oa", "x"), "a").join(sets.toDF("b", "vb", "ob", "y"), "b")
         both = both.where("a <> b or va <> vb").withColumn("common", F.size(F.array_intersect("x", "y")))
         both = both.where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common")))
