@@ -42,3 +42,14 @@ def test_whole_table_is_queried(name):
     text, sql = core.TEXTS[f"{name}_whole"]
     assert "user_id =" not in text and "event_type =" not in text and core.WEEK not in text and core.DAY_ONE not in text
     assert ("WHERE" in text) == name.startswith("fill") and core.WEEK_SQL not in sql and core.DAY_ONE_SQL not in sql
+
+
+@pytest.mark.parametrize("name", ["integral_running", "integral_running_whole"])
+def test_points_at_one_time(spark, con, tmp_path, name):
+    """Every event twice, the second time of another user: each has its row."""
+    con.execute(f"copy (select * replace (event_id + k * 1000000 as event_id, user_id + k * 1000000 as user_id) from '{DATA}/events.parquet', range(2) r(k)) to '{tmp_path}/events.parquet' (format parquet)")
+    for t in ("lineitem", "orders"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{DATA}/{t}.parquet")
+    mine = sorted(tuple(map(cell, r)) for r in core.QUERIES[name](spark, str(tmp_path)).collect())
+    sql = core.ORACLE_SQL[name].replace("from events", f"from '{tmp_path}/events.parquet'")
+    assert mine == sorted(tuple(map(cell, r)) for r in con.execute(sql).fetchall())

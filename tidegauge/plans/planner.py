@@ -147,7 +147,7 @@ def _pass(p: Points, f: str, items: list[Item], keys: list[str]) -> DataFrame:
         elif i.func == "integral":
             area = F.when(t > pt, (v + pv) / 2 * (t - pt) / F.lit(float(unit(i))))
             df = with_running(df, keys, F.coalesce(area, F.lit(0.0)), f"_x{n}")
-            x = F.when(t > pt, c(f"_x{n}"))
+            x = F.when(pt.isNotNull(), c(f"_x{n}"))  # a point at the time of the one before adds nothing and has its row
         elif i.func == "moving_average":
             df = _moving(df, keys, whole(i), f"_x{n}")
             x = c(f"_x{n}")
