@@ -156,3 +156,24 @@ def test_one_row_of_each_group_stays(spark):
     assert got == sorted([(None, a), (3, b), (4, other), (5, ""), (None, None), (6, "seven eight")], key=str)
     plain = spark.createDataFrame([(1, a, "x"), (2, a, "x"), (None, b, "x")], "doc_id long, text string, source string")
     assert sorted((r.text for r in one_of_each_group(spark, plain, "").collect())) == [a, b]
+
+
+def test_line_dedup_counts_tokens_in_parts(spark, monkeypatch):
+    """No part's tokens, and so no part's shuffle, are those of all prefixes; rows are the same."""
+    from tidegauge.llm import lines
+
+    rng, tables = random.Random(3), {}
+    texts = [t for _, t in corpus(9, 8, 6) if t]
+    rows = [(i, "\n".join(rng.choice(texts) for _ in range(6))) for i in range(40)]
+    keep = lines.stored
+
+    def stored(df, name):
+        out = keep(df, name)
+        tables.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "stored", stored)
+    monkeypatch.setattr(lines, "PART_ROWS", 20, raising=False)
+    got = {r.doc_id: (r.text, r.n_removed) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: t for k, (t, _) in got.items()} == brute_lines(rows)
+    assert sum(tables["shared"]) > 2 * max(tables["shared"]) and sum(tables["met"]) > 2 * max(tables["met"]) and sum(tables["star"])

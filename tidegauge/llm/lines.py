@@ -12,6 +12,8 @@ where two lines share it, both are verified.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,10 @@ from .common import discard, free_name, marked, stored, table
 
 #: Counters of the rarity sketch. The order they give is only a matter of speed.
 SKETCH = 1 << 16
+#: Tokens are counted and lines paired in parts of the token space, one after another, so
+#: that only one part's rows lie in shuffle files: one part more for every PART_ROWS rows
+#: of prefixes, PARTS at most, as each part reads all prefixes.
+PART_ROWS, PARTS = 6_000_000, 4
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -90,19 +96,35 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     lines = lines.select("d", "c", "p", F.lower("line").alias("low"))
     u, v = F.xxhash64("low").alias("u"), F.xxhash64(F.lit(7), "low").alias("v")
 
+    # All lines and where each stands first; these go to disk before the prefixes do, else
+    # their shuffle would lie beside those.
+    every = stored(lines.select("d", "c", "p", u, v), "lines")
+    firsts = stored(every.groupBy("u", "v").agg(F.min(F.struct("d", "c", "p")).alias("o"), F.count("*").alias("times")), "firsts")
+
     # The prefixes of all lines, and the tokens that the prefixes of different lines share.
     ordered = _with_tokens(lines.select(u, "low"), words).withColumn("tokens", _ordered(F.col("tokens"), _rarity(lines.select("low"), words)))
     n = F.size("tokens")
     prefix = F.slice("tokens", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1)
     prefixes = stored(ordered.select("u", n.alias("n"), _parity("tokens").alias("bits"), F.posexplode(prefix).alias("i", "t")), "prefixes")
-    every = stored(lines.select("d", "c", "p", u, v), "lines")
-    firsts = stored(every.groupBy("u", "v").agg(F.min(F.struct("d", "c", "p")).alias("o"), F.count("*").alias("times")), "firsts")
-    met = stored(prefixes.groupBy("t").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high").select("t"), "met")
-    shared = stored(marked(prefixes, met, "t").join(met, "t").distinct(), "shared")
-    discard(prefixes, met)
+    parts = min(PARTS, 1 + prefixes.count() // PART_ROWS)
+
+    def part(df: DataFrame, k: int) -> DataFrame:
+        """Rows of the k-th part of the tokens, by bits that ``marked`` doesn't use."""
+        return df if parts == 1 else df.where(F.pmod(F.shiftright("t", 40), F.lit(parts)) == k)
+
+    def shared_in(k: int) -> DataFrame:
+        some = part(prefixes, k)
+        met = stored(some.groupBy("t").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high").select("t"), "met")
+        out = stored(marked(some, met, "t").join(met, "t").distinct(), "shared")
+        discard(met)
+        return out
+
+    shared_parts = [shared_in(k) for k in range(parts)]
+    shared = reduce(DataFrame.union, shared_parts)
+    discard(prefixes)
     names = stored(shared.select("u").distinct().join(firsts.select("u", "v", "o"), "u"), "names")
     members = stored(shared.join(names, "u"), "members")
-    discard(shared)
+    discard(*shared_parts)
 
     def can_reach(n1: str, i1: str, bits1: str, n2: str, i2: str, bits2: str) -> Column:
         """The length and positional filters, and what the sets' parities leave for the overlap."""
@@ -128,17 +150,27 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     # First each line against the earliest of each of its prefix tokens, which settles
     # a group of near copies in as many pairs as it has lines.
-    first = members.groupBy("t").agg(F.min(F.struct("o", "u", "n", "i", "bits")).alias("x")).select("t", F.col("x.u").alias("a"), F.col("x.n").alias("na"), F.col("x.i").alias("ia"), F.col("x.bits").alias("bits_a"))
-    star = stored(members.join(first, "t").where("u <> a").where(can_reach("n", "i", "bits", "na", "ia", "bits_a")).select("a", F.col("u").alias("b")).distinct(), "star")
+    def star_in(k: int) -> DataFrame:
+        some = part(members, k)
+        first = some.groupBy("t").agg(F.min(F.struct("o", "u", "n", "i", "bits")).alias("x")).select("t", F.col("x.u").alias("a"), F.col("x.n").alias("na"), F.col("x.i").alias("ia"), F.col("x.bits").alias("bits_a"))
+        return stored(some.join(first, "t").where("u <> a").where(can_reach("n", "i", "bits", "na", "ia", "bits_a")).select("a", F.col("u").alias("b")).distinct(), "star")
+
+    star_parts = [star_in(k) for k in range(parts)]
+    star = stored(reduce(DataFrame.union, star_parts).distinct(), "star") if parts > 1 else star_parts[0]
     gone = verified(star)
     # Then what is left against all earlier lines that share a prefix token.
-    left = members.join(gone, ["u", "v"], "left_anti").select("t", "o", F.col("u").alias("b"), "n", "i", "bits")
-    earlier = members.select("t", F.col("o").alias("oa"), F.col("u").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("bits").alias("bits_a"))
-    rest = left.join(earlier, "t").where("oa < o and a <> b").where(can_reach("n", "i", "bits", "na", "ia", "bits_a")).select("a", "b").distinct()
-    rest = stored(rest.join(star, ["a", "b"], "left_anti"), "rest")
-    discard(members, star)
+    def rest_in(k: int) -> DataFrame:
+        some = part(members, k)
+        left = some.join(gone, ["u", "v"], "left_anti").select("t", "o", F.col("u").alias("b"), "n", "i", "bits")
+        earlier = some.select("t", F.col("o").alias("oa"), F.col("u").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("bits").alias("bits_a"))
+        pairs = left.join(earlier, "t").where("oa < o and a <> b").where(can_reach("n", "i", "bits", "na", "ia", "bits_a")).select("a", "b").distinct()
+        return stored(pairs.join(star, ["a", "b"], "left_anti"), "rest")
+
+    rest_parts = [rest_in(k) for k in range(parts)]
+    rest = stored(reduce(DataFrame.union, rest_parts).distinct(), "rest") if parts > 1 else rest_parts[0]
+    discard(members, *{x.stored_at: x for x in [star, *star_parts]}.values())
     more = verified(rest)
-    discard(rest, names)
+    discard(names, *{x.stored_at: x for x in [rest, *rest_parts]}.values())
 
     # Lines that stand once and are near no earlier one need not be looked up.
     near = gone.union(more).distinct().withColumn("near", F.lit(True))
@@ -165,7 +197,7 @@ def dedup_lines(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     documents of their own. Empty tables give empty ones.
 
     Scale: only prefixes (about a fifth of the tokens) are stored and counted, and only
-    those that two lines share go further. 64 parity bits of a line's whole set bound the
+    those that two lines share go further, part of the token space by part. 64 parity bits of a line's whole set bound the
     overlap of two lines, so lines that share a token by chance are no candidates, and
     candidates grow with the near copies there are; token sets are fetched for the lines of
     candidate pairs alone. A hot group of similar lines is first held against its
