@@ -325,3 +325,18 @@ def test_repeated_pages_and_deep_nesting(spark):
 @pytest.mark.parametrize("bad", ["<", "<p", "</", "<p a='", "<!--", "<script>x", "</p></div>", "<p><div></p></div>", "&#xZZ; &bogus;", "<a" * 500])
 def test_any_markup_is_read(bad):
     assert isinstance(html.extract(bad, None), str)
+
+
+def test_best_paths_are_searched_for_many_blocks_at_once(monkeypatch):
+    net = pii.train([], ["some", "words"], steps=3)
+    net.p["moves"] += np.random.default_rng(3).normal(size=net.p["moves"].shape).astype(np.float32)
+    texts = [f"call 017-555-77{i} now or write to walnut{i} at river dot com " * (1 + i % 3 * 6) for i in range(40)]
+    want, searches, best = pii.find_all(texts, net), [], pii.Network.best
+    monkeypatch.setattr(pii.Network, "best", lambda self, scores: searches.append(len(scores)) or best(self, scores))
+    monkeypatch.setattr(pii, "BLOCK", 8)
+    monkeypatch.setattr(pii.Network, "doubtful", lambda self, x, f=pii.Network.doubtful: (f(self, x)[0][:3], f(self, x)[1][:3]))
+    some = pii.find_all(texts, net)
+    assert len(some) == len(want) and len(searches) > 1 and all(n >= pii.BLOCK for n in searches[:-1]) and max(searches) < pii.BLOCK + 3
+    monkeypatch.undo()
+    monkeypatch.setattr(pii, "BLOCK", 8)
+    assert pii.find_all(texts, net) == want
