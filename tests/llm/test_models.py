@@ -29,6 +29,19 @@ def test_ordinal_regression_recovers_order():
     assert (np.diff(m.tails(rows[0])) <= 0).all()
 
 
+def test_quality_fit_holds_few_bytes_a_feature():
+    """The fit runs on the driver, beside Spark's own memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 60_000, 400).astype(np.int32)) for _ in range(6000)]
+    tracemalloc.start()
+    quality.fit(rows, rng.integers(0, 3, len(rows)), 3, rounds=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 * sum(len(r) for r in rows)
+
+
 def test_quality_operator(spark):
     docs, labels = read(spark, "documents"), read(spark, "labels")
     got = {r.doc_id: r for r in quality.grade(docs, quality.train(docs, labels)).collect()}

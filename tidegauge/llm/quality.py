@@ -4,6 +4,7 @@ ratings. Hashed-text weights are shared by all grades, thresholds are ordered.""
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +17,8 @@ from .common import map_batches, table
 DIM = 1 << 18
 #: Labelled rows that the model is fitted on at most (those of smallest hash).
 FIT_ROWS = 6_000
+#: Features of documents that a step of the fit holds in 64 bits at once.
+BLOCK = 1 << 17
 #: A document stays if its probability of the best grade is at least this.
 LEAST_TAIL = 0.5
 #: Words whose features a Python worker remembers.
@@ -74,6 +77,26 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+def _sums(index: np.ndarray, sizes: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """A function that gives, for each group, the sum of ``v[i]`` over its indices in
+    their order; groups stand one after another in ``index``. It works on about
+    BLOCK indices at a time, so that no copy of all of them is made in 64 bits."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    cuts = [0]
+    while cuts[-1] < len(sizes):
+        to = int(np.searchsorted(offsets, offsets[cuts[-1]] + BLOCK, side="right")) - 1
+        cuts.append(min(max(to, cuts[-1] + 1), len(sizes)))
+
+    def sums(v: np.ndarray) -> np.ndarray:
+        out = np.empty(len(sizes))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            group = np.repeat(np.arange(b - a), sizes[a:b])
+            out[a:b] = np.bincount(group, weights=v[index[offsets[a] : offsets[b]]], minlength=b - a)
+        return out
+
+    return sums
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 0.05, rounds: int = 400, least: int = 5, common: float = 0.25) -> Ordinal:
     """Accelerated proximal gradient on the mean log-likelihood. Features of fewer
     than ``least`` rows or of more than a share ``common`` of them have weight 0, and
@@ -84,20 +107,25 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 0
         return Ordinal(weights, np.full(n_grades - 1, -50.0) + np.arange(n_grades - 1))
     n, y = len(rows), np.asarray(grades)
     l1 /= np.sqrt(n)
-    ids = np.concatenate(rows)
-    owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
-    count = np.bincount(ids, minlength=DIM)
+    count = np.zeros(DIM, np.int64)
+    for r in rows:
+        np.add.at(count, r, 1)
     chosen = (count >= least) & (count <= common * n)
-    keep = chosen[ids]
-    used = np.flatnonzero(chosen)
-    place, owner = np.searchsorted(used, ids[keep]), owner[keep].astype(np.int64)
-    del ids, keep
-
-    def times(v: np.ndarray) -> np.ndarray:
-        return np.bincount(owner, weights=v[place], minlength=n)
-
-    def back(v: np.ndarray) -> np.ndarray:
-        return np.bincount(place, weights=v[owner], minlength=len(used))
+    used, at = np.flatnonzero(chosen), np.cumsum(chosen, dtype=np.int32) - np.int32(1)
+    kept = [at[r[chosen[r]]] for r in rows]
+    sizes = np.array([len(k) for k in kept])
+    place = np.concatenate(kept)
+    del kept
+    owner, holders = np.repeat(np.arange(n, dtype=np.int32), sizes), count[used]
+    step = max(1, len(used) * BLOCK // max(1, len(place)))
+    by_feature = np.empty_like(owner)
+    done = 0
+    for first in range(0, len(used), step):  # by feature, rows in their order
+        some = np.flatnonzero((place >= first) & (place < first + step))
+        by_feature[done : done + len(some)] = owner[some[np.argsort(place[some], kind="stable")]]
+        done += len(some)
+    del owner
+    times, back = _sums(place, sizes), _sums(by_feature, holders)
 
     top, v = 1.0, np.ones(len(used))
     for _ in range(20):  # the largest curvature, by power iteration
