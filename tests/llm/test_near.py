@@ -177,3 +177,27 @@ def test_line_dedup_counts_tokens_in_parts(spark, monkeypatch):
     got = {r.doc_id: (r.text, r.n_removed) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {k: t for k, (t, _) in got.items()} == brute_lines(rows)
     assert sum(tables["shared"]) > 2 * max(tables["shared"]) and sum(tables["met"]) > 2 * max(tables["met"]) and sum(tables["star"])
+
+
+def test_line_dedup_orders_only_lines_that_may_be_near_another(spark, monkeypatch):
+    """Lines with too many tokens of their own get no prefixes; rows are the same, also
+    where all lines share the 40 bits that the lone ones are known by."""
+    from tidegauge.llm import lines
+
+    rng, tables = random.Random(4), {}
+    base = [words(rng, 30) for _ in range(4)]
+    near = [f"{b} {x}" for b in base for x in ("one", "two", "three")] + ["a b " * 20, "a b " * 21 + "a", "short line", "Short line"] + ["hot line " + base[0]] * 40
+    rows = [(i, f"{words(rng, 40)} {i}\n{near[i % len(near)]}\n{words(rng, 25)} {i}") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keep = lines.stored
+
+    def stored(df, name):
+        out = keep(df, name)
+        tables.setdefault(name, []).append(out.select("u").distinct().count() if name == "prefixes" else out.count())
+        return out
+
+    monkeypatch.setattr(lines, "stored", stored)
+    assert {r.doc_id: r.text for r in dedup_lines(df).collect()} == brute_lines(rows)
+    assert tables["prefixes"][0] < 60 < tables["firsts"][0]
+    monkeypatch.setattr(lines, "_LINE", "u & 0")
+    assert {r.doc_id: r.text for r in dedup_lines(df).collect()} == brute_lines(rows)

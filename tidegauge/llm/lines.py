@@ -1,9 +1,11 @@
 """Operator 3, line deduplication: an exact set-similarity join over lines, in
 DataFrame functions alone.
 
-Tokens of a line are its 5-word shingles, ordered by rarity. Lines that share a
-token of their prefixes are paired if the length and positional filters let them
-reach the threshold, and are verified on their whole token sets.
+Tokens of a line are its 5-word shingles. A line of which too many tokens occur in no
+other line is near none and is set aside first. Of those left, tokens are ordered by
+rarity; lines that share a token of their prefixes are paired if the length and
+positional filters let them reach the threshold, and are verified on their whole token
+sets.
 
 A row of ``documents`` is known by its id (d) and the hash of its text (c), a line by
 two hashes of its lower-cased text (u, v) of 64 bits each. Candidates carry u alone;
@@ -21,6 +23,9 @@ from .common import discard, free_name, marked, stored, table
 
 #: Counters of the rarity sketch. The order they give is only a matter of speed.
 SKETCH = 1 << 16
+#: Eighths of the token space that ``_not_lone`` looks at; and from how many copies on a line
+#: is read once there, for the HOT most frequent ones. Results are the same with any.
+LOOK, COPIES, HOT = 3, 32, 1 << 14
 #: Tokens are counted and lines paired in parts of the token space, one after another, so
 #: that only one part's rows lie in shuffle files: one part more for every PART_ROWS rows
 #: of prefixes, PARTS at most, as each part reads all prefixes.
@@ -51,14 +56,51 @@ def _with_tokens(lines: DataFrame, words: int) -> DataFrame:
     return lines.withColumn("tokens", F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: _shingle(i, words)))).drop("w", "low")
 
 
+def _places(lines: DataFrame, words: int) -> DataFrame:
+    """A row for each place i of a shingle in ``low``: its words w, the number of places
+    n and the other columns. Hashing so stays in generated code."""
+    others = [x for x in lines.columns if x != "low"]
+    lines = lines.select(*others, _words().alias("w")).withColumn("n", F.greatest(F.size("w") - words, F.lit(0)) + 1)
+    # explode_outer: explode's filter on the size would be pushed below the split and run it again.
+    return lines.select("*", F.explode_outer(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+
+
+#: 40 bits of a line's u.
+_LINE = "shiftrightunsigned(u, 24)"
+
+
+def _not_lone(lines: DataFrame, firsts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(u, v, o) of ``firsts`` without the lines of which more tokens than the threshold
+    lets differ are in no other line. A line that reaches it with x has ``percent`` / 100
+    of x's tokens at least, so such an x has none.
+
+    Which tokens are looked at depends on their own first and last word alone. Repeats in
+    a line raise its n, and tokens that share 40 bits are taken for one; both only spare
+    lines. Lines that share 40 bits of u are all spared."""
+    hot = firsts.where(F.col("times") >= COPIES).orderBy(F.desc("times")).limit(HOT).select("u", "v", F.xxhash64("o.d", "o.c", "o.p").alias("at"))
+    lines = lines.join(F.broadcast(hot), ["u", "v"], "left").where("at is null or at = place")
+    places = _places(lines.select("u", "low"), words)
+    some = places.where(F.xxhash64(F.get("w", F.col("i")), F.get("w", F.col("i") + words - 1)).bitwiseAND(F.lit(7)) < LOOK)
+    most = (1 << 24) - 1  # n has 24 bits beside those of the line; a longer line is spared
+    some = some.select(F.expr(f"shiftleft({_LINE}, 24) | least(n, {most})").alias("x"), F.shiftrightunsigned(_shingle(F.col("i"), words), 24).alias("t"))
+    # Dealt out before they are grouped: tokens hardly ever repeat within a task.
+    own = some.repartition("t").groupBy("t").agg(F.min("x").alias("x"), F.max("x").alias("high")).where("x = high").select("x")
+    n = F.col("x").bitwiseAND(F.lit(most))
+    lone = own.repartition("x").groupBy("x").agg(F.count("*").alias("k")).where((n < most) & (100 * F.col("k") > (100 - percent) * n))
+    lone = stored(lone.select(F.shiftrightunsigned("x", 24).alias("line")), "lone")
+    firsts = firsts.select(F.expr(_LINE).alias("line"), "u", "v", "o")
+    twins = firsts.groupBy("line").agg(F.count("*").alias("k")).where("k > 1").select("line")
+    # Hashed, so that the many rows beside them need not be sorted.
+    lone_ones = lone.join(twins.hint("shuffle_hash"), "line", "left_anti").hint("shuffle_hash")
+    out = stored(firsts.join(lone_ones, "line", "left_anti").drop("line"), "names")
+    discard(lone)
+    return out
+
+
 def _rarity(lines: DataFrame, words: int) -> Column:
     """An array of SKETCH ranks (0-127, in the highest byte) that rise with how often
     tokens of that counter occur in all lines."""
-    lines = lines.select(_words().alias("w"))
-    # One row for each place, so that hashing stays in generated code. explode_outer:
-    # explode's filter on the size would be pushed below the split and run it again.
-    places = lines.select("w", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("w") - words, F.lit(0)))).alias("i"))
-    counts = places.groupBy(_shingle(F.col("i"), words).bitwiseAND(F.lit(SKETCH - 1)).alias("k")).agg(F.count("*").alias("n")).collect()
+    counts = _places(lines, words).groupBy(_shingle(F.col("i"), words).bitwiseAND(F.lit(SKETCH - 1)).alias("k")).agg(F.count("*").alias("n")).collect()
     ranks = [0] * SKETCH
     for k, n in counts:  # at most SKETCH rows
         ranks[k] = min(127, 3 * n.bit_length()) << 56
@@ -101,8 +143,17 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     every = stored(lines.select("d", "c", "p", u, v), "lines")
     firsts = stored(every.groupBy("u", "v").agg(F.min(F.struct("d", "c", "p")).alias("o"), F.count("*").alias("times")), "firsts")
 
-    # The prefixes of all lines, and the tokens that the prefixes of different lines share.
-    ordered = _with_tokens(lines.select(u, "low"), words).withColumn("tokens", _ordered(F.col("tokens"), _rarity(lines.select("low"), words)))
+    # Lines that may be near another, and their texts. A line is read where it stands
+    # first, so one that stands in very many rows is fetched once; rows that repeat both
+    # id and text are one.
+    placed = lines.select(F.xxhash64("d", "c", "p").alias("place"), u, v, "low")
+    names = _not_lone(placed, firsts, words, percent)
+    wanted = names.select(F.xxhash64("o.d", "o.c", "o.p").alias("place"), "u", "v")
+    texts = marked(placed, wanted, "place").join(wanted.hint("shuffle_hash"), ["place", "u", "v"])
+    texts = stored(texts.dropDuplicates(["place", "u", "v"]).select("u", "v", "low"), "texts")
+
+    # Their prefixes, and the tokens that the prefixes of different lines share.
+    ordered = _with_tokens(texts.select("u", "low"), words).withColumn("tokens", _ordered(F.col("tokens"), _rarity(texts.select("low"), words)))
     n = F.size("tokens")
     prefix = F.slice("tokens", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1)
     prefixes = stored(ordered.select("u", n.alias("n"), _parity("tokens").alias("bits"), F.posexplode(prefix).alias("i", "t")), "prefixes")
@@ -122,7 +173,6 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     shared_parts = [shared_in(k) for k in range(parts)]
     shared = reduce(DataFrame.union, shared_parts)
     discard(prefixes)
-    names = stored(shared.select("u").distinct().join(firsts.select("u", "v", "o"), "u"), "names")
     members = stored(shared.join(names, "u"), "members")
     discard(*shared_parts)
 
@@ -134,18 +184,14 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         """(u, v) of the later lines of ``pairs`` (a, b) that reach the threshold. Sets
         are fetched for the lines of these pairs alone."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct().join(names, "u").select(F.xxhash64("o.d", "o.c", "o.p").alias("place"), "u", "v", "o")
-        wanted = stored(wanted, "wanted")
-        # A line is read where it stands first, so one that stands in very many rows is
-        # fetched once; rows that repeat both id and text are one.
-        texts = marked(lines.select(F.xxhash64("d", "c", "p").alias("place"), u, v, "low"), wanted, "place").dropDuplicates(["place", "u", "v"])
-        sets = stored(_with_tokens(texts.join(wanted, ["place", "u", "v"]).select("u", "v", "o", "low"), words), "sets")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct().join(names, "u")
+        sets = stored(_with_tokens(texts.join(wanted, ["u", "v"]).select("u", "v", "o", "low"), words), "sets")
         both = pairs.join(sets.toDF("a", "va", "oa", "x"), "a").join(sets.toDF("b", "vb", "ob", "y"), "b")
         both = both.where("a <> b or va <> vb").withColumn("common", F.size(F.array_intersect("x", "y")))
         both = both.where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common")))
         later = F.when(F.col("oa") < F.col("ob"), F.struct(F.col("b").alias("u"), F.col("vb").alias("v"))).otherwise(F.struct(F.col("a").alias("u"), F.col("va").alias("v")))
         out = stored(both.select(later.alias("x")).select("x.*").distinct(), "gone")
-        discard(wanted, sets)
+        discard(sets)
         return out
 
     # First each line against the earliest of each of its prefix tokens, which settles
@@ -170,13 +216,13 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     rest = stored(reduce(DataFrame.union, rest_parts).distinct(), "rest") if parts > 1 else rest_parts[0]
     discard(members, *{x.stored_at: x for x in [star, *star_parts]}.values())
     more = verified(rest)
-    discard(names, *{x.stored_at: x for x in [rest, *rest_parts]}.values())
+    discard(names, texts, *{x.stored_at: x for x in [rest, *rest_parts]}.values())
 
     # Lines that stand once and are near no earlier one need not be looked up.
     near = gone.union(more).distinct().withColumn("near", F.lit(True))
-    judged = firsts.join(near, ["u", "v"], "left").where("near or times > 1").select("u", "v", F.when(F.col("near").isNull(), F.col("o")).alias("stays"))
-    out = every.join(judged, ["u", "v"]).where("stays is null or stays <> struct(d, c, p)").select("d", "c", "p").distinct()
-    marks = stored(out.groupBy("d", "c").agg(F.sort_array(F.collect_list("p")).alias("removed")), "marks")
+    judged = firsts.join(near.hint("shuffle_hash"), ["u", "v"], "left").where("near or times > 1").select("u", "v", F.when(F.col("near").isNull(), F.col("o")).alias("stays"))
+    out = every.join(judged.hint("shuffle_hash"), ["u", "v"]).where("stays is null or stays <> struct(d, c, p)")
+    marks = stored(out.groupBy("d", "c").agg(F.sort_array(F.collect_set("p")).alias("removed")), "marks")
     discard(every, firsts, gone, more)
     return marks
 
@@ -196,8 +242,11 @@ def dedup_lines(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     one is removed from all. Different texts of one doc_id, or without one, are
     documents of their own. Empty tables give empty ones.
 
-    Scale: only prefixes (about a fifth of the tokens) are stored and counted, and only
-    those that two lines share go further, part of the token space by part. 64 parity bits of a line's whole set bound the
+    Scale: three eighths of the tokens are dealt out once to set aside the lines that
+    have too many of their own; a token in very many different lines is one task's, which
+    only counts it. Of the lines left only prefixes (about a fifth of the tokens) are
+    stored and counted, and only those that two lines share go further, part of the token
+    space by part. 64 parity bits of a line's whole set bound the
     overlap of two lines, so lines that share a token by chance are no candidates, and
     candidates grow with the near copies there are; token sets are fetched for the lines of
     candidate pairs alone. A hot group of similar lines is first held against its
