@@ -97,10 +97,10 @@ def _not_lone(lines: DataFrame, firsts: DataFrame, words: int, percent: int) ->
     return out
 
 
-def _rarity(lines: DataFrame, words: int) -> Column:
+def _rarity(sets: DataFrame) -> Column:
     """An array of SKETCH ranks (0-127, in the highest byte) that rise with how often
-    tokens of that counter occur in all lines."""
-    counts = _places(lines, words).groupBy(_shingle(F.col("i"), words).bitwiseAND(F.lit(SKETCH - 1)).alias("k")).agg(F.count("*").alias("n")).collect()
+    tokens of that counter occur in all of ``tokens``."""
+    counts = sets.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(SKETCH - 1)).alias("k")).agg(F.count("*").alias("n")).collect()
     ranks = [0] * SKETCH
     for k, n in counts:  # at most SKETCH rows
         ranks[k] = min(127, 3 * n.bit_length()) << 56
@@ -143,17 +143,17 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     every = stored(lines.select("d", "c", "p", u, v), "lines")
     firsts = stored(every.groupBy("u", "v").agg(F.min(F.struct("d", "c", "p")).alias("o"), F.count("*").alias("times")), "firsts")
 
-    # Lines that may be near another, and their texts. A line is read where it stands
+    # Lines that may be near another, and their token sets. A line is read where it stands
     # first, so one that stands in very many rows is fetched once; rows that repeat both
     # id and text are one.
     placed = lines.select(F.xxhash64("d", "c", "p").alias("place"), u, v, "low")
     names = _not_lone(placed, firsts, words, percent)
     wanted = names.select(F.xxhash64("o.d", "o.c", "o.p").alias("place"), "u", "v")
     texts = marked(placed, wanted, "place").join(wanted.hint("shuffle_hash"), ["place", "u", "v"])
-    texts = stored(texts.dropDuplicates(["place", "u", "v"]).select("u", "v", "low"), "texts")
+    tokens = stored(_with_tokens(texts.dropDuplicates(["place", "u", "v"]).select("u", "v", "low"), words), "tokens")
 
     # Their prefixes, and the tokens that the prefixes of different lines share.
-    ordered = _with_tokens(texts.select("u", "low"), words).withColumn("tokens", _ordered(F.col("tokens"), _rarity(texts.select("low"), words)))
+    ordered = tokens.select("u", _ordered(F.col("tokens"), _rarity(tokens)).alias("tokens"))
     n = F.size("tokens")
     prefix = F.slice("tokens", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1)
     prefixes = stored(ordered.select("u", n.alias("n"), _parity("tokens").alias("bits"), F.posexplode(prefix).alias("i", "t")), "prefixes")
@@ -185,7 +185,7 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         """(u, v) of the later lines of ``pairs`` (a, b) that reach the threshold. Sets
         are fetched for the lines of these pairs alone."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct().join(names, "u")
-        sets = stored(_with_tokens(texts.join(wanted, ["u", "v"]).select("u", "v", "o", "low"), words), "sets")
+        sets = stored(tokens.join(wanted.hint("shuffle_hash"), ["u", "v"]).select("u", "v", "o", "tokens"), "sets")
         both = pairs.join(sets.toDF("a", "va", "oa", "x"), "a").join(sets.toDF("b", "vb", "ob", "y"), "b")
         both = both.where("a <> b or va <> vb").withColumn("common", F.size(F.array_intersect("x", "y")))
         both = both.where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common")))
@@ -216,7 +216,7 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     rest = stored(reduce(DataFrame.union, rest_parts).distinct(), "rest") if parts > 1 else rest_parts[0]
     discard(members, *{x.stored_at: x for x in [star, *star_parts]}.values())
     more = verified(rest)
-    discard(names, texts, *{x.stored_at: x for x in [rest, *rest_parts]}.values())
+    discard(names, tokens, *{x.stored_at: x for x in [rest, *rest_parts]}.values())
 
     # Lines that stand once and are near no earlier one need not be looked up.
     near = gone.union(more).distinct().withColumn("near", F.lit(True))
