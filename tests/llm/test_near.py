@@ -201,3 +201,27 @@ def test_line_dedup_orders_only_lines_that_may_be_near_another(spark, monkeypatc
     assert tables["prefixes"][0] < 60 < tables["firsts"][0]
     monkeypatch.setattr(lines, "_LINE", "u & 0")
     assert {r.doc_id: r.text for r in dedup_lines(df).collect()} == brute_lines(rows)
+
+
+def test_line_dedup_runs_stand_for_tokens_of_their_own(spark):
+    """What runs that another line lacks stand for is never more than the tokens it lacks,
+    and fewer rows are dealt out than tokens."""
+    from tidegauge.llm import lines
+
+    rng = random.Random(6)
+    texts = sorted({t.lower() for _, t in corpus(5, 5, 4) if t and t.strip()} | {" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 14))) for _ in range(60)} | {" a\tb  c d e\rf "})
+    df = spark.createDataFrame(list(enumerate(texts)), "u long, low string")
+    for k in (1, 2, 3, 4, 5, 6):
+        runs = {}
+        for r in lines._runs(df, k).collect():
+            mine = runs.setdefault(r.u, {})
+            mine[r.t] = min(r.k, mine.get(r.t, r.k))
+        sets = [shingles(t, k) for t in texts]
+        for a, x in enumerate(sets):
+            mine = runs.get(a, {})
+            assert sum(mine.values()) <= len(x)
+            for b, y in enumerate(sets):
+                assert sum(n for t, n in mine.items() if t not in runs.get(b, {})) <= len(x - y)
+        if k == 5:
+            assert 0.4 * sum(map(len, sets)) > sum(len(x) for x in runs.values()) > 0
+            assert any(n > 1 for x in runs.values() for n in x.values())

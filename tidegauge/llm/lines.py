@@ -8,8 +8,8 @@ positional filters let them reach the threshold, and are verified on their whole
 sets.
 
 A row of ``documents`` is known by its id (d) and the hash of its text (c), a line by
-two hashes of its lower-cased text (u, v) of 64 bits each. Candidates carry u alone;
-where two lines share it, both are verified.
+two hashes of its lower-cased text (u, v) of 64 bits each. The lines left are numbered in
+the order in which they first stand.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from .common import discard, free_name, marked, stored, table
 
 #: Counters of the rarity sketch. The order they give is only a matter of speed.
 SKETCH = 1 << 16
-#: Eighths of the token space that ``_not_lone`` looks at; and from how many copies on a line
+#: Sixteenths of the words that begin a run in ``_not_lone``; and from how many copies on a line
 #: is read once there, for the HOT most frequent ones. Results are the same with any.
-LOOK, COPIES, HOT = 3, 32, 1 << 14
+LOOK, COPIES, HOT = 4, 32, 1 << 14
 #: Tokens are counted and lines paired in parts of the token space, one after another, so
 #: that only one part's rows lie in shuffle files: one part more for every PART_ROWS rows
 #: of prefixes, PARTS at most, as each part reads all prefixes.
@@ -56,13 +56,30 @@ def _with_tokens(lines: DataFrame, words: int) -> DataFrame:
     return lines.withColumn("tokens", F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: _shingle(i, words)))).drop("w", "low")
 
 
-def _places(lines: DataFrame, words: int) -> DataFrame:
-    """A row for each place i of a shingle in ``low``: its words w, the number of places
-    n and the other columns. Hashing so stays in generated code."""
+def _runs(lines: DataFrame, words: int) -> DataFrame:
+    """The runs of words in ``low`` that begin at an anchor, which a word is by its own
+    hash: their hash t, the other columns, the number of places n of a shingle in the line,
+    and k, for how many of these the run stands: those around it that no anchor before it
+    is in. So no place counts twice, and which run a shingle counts for depends on its own
+    words. Every shingle that has the run has it among its words, so where the run is in no
+    other line these shingles are not either. Hashing so stays in generated code."""
+    size = words // 2 + 1
+    most = words - size + 1  # places around a run
     others = [x for x in lines.columns if x != "low"]
     lines = lines.select(*others, _words().alias("w")).withColumn("n", F.greatest(F.size("w") - words, F.lit(0)) + 1)
     # explode_outer: explode's filter on the size would be pushed below the split and run it again.
-    return lines.select("*", F.explode_outer(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    # A line too short for a run has one with what it has.
+    places = lines.select("*", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))).alias("i"))
+
+    def anchor(at: Column) -> Column:
+        return F.xxhash64(F.get("w", at)).bitwiseAND(F.lit(15)) < LOOK
+
+    before = F.col("i") - most
+    for back in range(most - 1, 0, -1):
+        before = F.when(anchor(F.col("i") - back), F.col("i") - back).otherwise(before)
+    k = F.least(F.col("i"), F.col("n") - 1) - F.greatest(before, F.lit(-1))
+    t = F.xxhash64(*(F.get("w", F.col("i") + x) for x in range(size)))
+    return places.where(anchor(F.col("i"))).select(*others, "n", t.alias("t"), F.greatest(k, F.lit(0)).alias("k"))
 
 
 #: 40 bits of a line's u.
@@ -74,20 +91,20 @@ def _not_lone(lines: DataFrame, firsts: DataFrame, words: int, percent: int) ->
     lets differ are in no other line. A line that reaches it with x has ``percent`` / 100
     of x's tokens at least, so such an x has none.
 
-    Which tokens are looked at depends on their own first and last word alone. Repeats in
-    a line raise its n, and tokens that share 40 bits are taken for one; both only spare
-    lines. Lines that share 40 bits of u are all spared."""
+    Runs of words (``_runs``) stand for the tokens around them. Repeats in a line raise its
+    n, and runs that share 40 bits are taken for one; both only spare lines. Lines that
+    share 40 bits of u are all spared."""
     hot = firsts.where(F.col("times") >= COPIES).orderBy(F.desc("times")).limit(HOT).select("u", "v", F.xxhash64("o.d", "o.c", "o.p").alias("at"))
     lines = lines.join(F.broadcast(hot), ["u", "v"], "left").where("at is null or at = place")
-    places = _places(lines.select("u", "low"), words)
-    some = places.where(F.xxhash64(F.get("w", F.col("i")), F.get("w", F.col("i") + words - 1)).bitwiseAND(F.lit(7)) < LOOK)
-    most = (1 << 24) - 1  # n has 24 bits beside those of the line; a longer line is spared
-    some = some.select(F.expr(f"shiftleft({_LINE}, 24) | least(n, {most})").alias("x"), F.shiftrightunsigned(_shingle(F.col("i"), words), 24).alias("t"))
-    # Dealt out before they are grouped: tokens hardly ever repeat within a task.
-    own = some.repartition("t").groupBy("t").agg(F.min("x").alias("x"), F.max("x").alias("high")).where("x = high").select("x")
+    most = (1 << 20) - 1  # n has 20 bits beside the line's and four of k; a longer line is spared
+    some = _runs(lines.select("u", "low"), words)
+    some = some.select(F.expr(f"shiftleft({_LINE}, 24) | shiftleft(least(n, {most}), 4) | least(k, 15)").alias("x"), F.shiftrightunsigned("t", 24).alias("t"))
+    # Dealt out before they are grouped: runs hardly ever repeat within a task.
+    own = some.repartition("t").groupBy("t").agg(F.min("x").alias("x"), F.max("x").alias("high")).where("shiftright(x, 4) = shiftright(high, 4)").select("x")
+    own = own.select(F.shiftrightunsigned("x", 4).alias("x"), F.col("x").bitwiseAND(F.lit(15)).alias("k"))
     n = F.col("x").bitwiseAND(F.lit(most))
-    lone = own.repartition("x").groupBy("x").agg(F.count("*").alias("k")).where((n < most) & (100 * F.col("k") > (100 - percent) * n))
-    lone = stored(lone.select(F.shiftrightunsigned("x", 24).alias("line")), "lone")
+    lone = own.repartition("x").groupBy("x").agg(F.sum("k").alias("k")).where((n < most) & (100 * F.col("k") > (100 - percent) * n))
+    lone = stored(lone.select(F.shiftrightunsigned("x", 20).alias("line")), "lone")
     firsts = firsts.select(F.expr(_LINE).alias("line"), "u", "v", "o")
     twins = firsts.groupBy("line").agg(F.count("*").alias("k")).where("k > 1").select("line")
     # Hashed, so that the many rows beside them need not be sorted.
@@ -134,8 +151,8 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(d, c, removed): for each id and text hash of ``docs`` (doc_id, text) with lines
     to remove, the sorted positions of those. See ``dedup_lines``."""
     docs = docs.select(F.col("doc_id").alias("d"), _row_hash().alias("c"), F.col("text").cast("string").alias("text"))
-    lines = docs.select("d", "c", F.posexplode(F.split("text", "\n")).alias("p", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    lines = lines.select("d", "c", "p", F.lower("line").alias("low"))
+    raw = docs.select("d", "c", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    lines = raw.where(F.trim("line", F.lit(" \t\r\x0b\x0c")) != "").select("d", "c", "p", F.lower("line").alias("low"))
     u, v = F.xxhash64("low").alias("u"), F.xxhash64(F.lit(7), "low").alias("v")
 
     # All lines and where each stands first; these go to disk before the prefixes do, else
@@ -147,12 +164,17 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     # first, so one that stands in very many rows is fetched once; rows that repeat both
     # id and text are one.
     placed = lines.select(F.xxhash64("d", "c", "p").alias("place"), u, v, "low")
-    names = _not_lone(placed, firsts, words, percent)
-    wanted = names.select(F.xxhash64("o.d", "o.c", "o.p").alias("place"), "u", "v")
-    texts = marked(placed, wanted, "place").join(wanted.hint("shuffle_hash"), ["place", "u", "v"])
-    tokens = stored(_with_tokens(texts.dropDuplicates(["place", "u", "v"]).select("u", "v", "low"), words), "tokens")
-
-    # Their prefixes, and the tokens that the prefixes of different lines share.
+    left = _not_lone(placed, firsts, words, percent)
+    # Numbered by where they first stand: from ``tokens`` to ``more`` a line is known by
+    # its number alone, as u.
+    names = stored(left.orderBy("o.d", "o.c", "o.p").select(F.monotonically_increasing_id().alias("r"), "u", "v", F.xxhash64("o.d", "o.c", "o.p").alias("place")), "numbers")
+    discard(left)
+    texts = marked(raw.select(F.xxhash64("d", "c", "p").alias("place"), "line"), names, "place").select("place", F.lower("line").alias("low")).select("place", u, v, "low")
+    texts = texts.join(names.hint("shuffle_hash"), ["place", "u", "v"])
+    tokens = stored(_with_tokens(texts.dropDuplicates(["place", "u", "v"]).select(F.col("r").alias("u"), "low"), words), "tokens")
+
+    # Their prefixes, and the tokens that the prefixes of different lines share, with the
+    # earliest line (low) of each.
     ordered = tokens.select("u", _ordered(F.col("tokens"), _rarity(tokens)).alias("tokens"))
     n = F.size("tokens")
     prefix = F.slice("tokens", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1)
@@ -165,16 +187,13 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     def shared_in(k: int) -> DataFrame:
         some = part(prefixes, k)
-        met = stored(some.groupBy("t").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high").select("t"), "met")
-        out = stored(marked(some, met, "t").join(met, "t").distinct(), "shared")
+        met = stored(some.groupBy("t").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high").select("t", "low"), "met")
+        out = stored(marked(some, met, "t").join(met.hint("shuffle_hash"), "t"), "shared")
         discard(met)
         return out
 
     shared_parts = [shared_in(k) for k in range(parts)]
-    shared = reduce(DataFrame.union, shared_parts)
     discard(prefixes)
-    members = stored(shared.join(names, "u"), "members")
-    discard(*shared_parts)
 
     def can_reach(n1: str, i1: str, bits1: str, n2: str, i2: str, bits2: str) -> Column:
         """The length and positional filters, and what the sets' parities leave for the overlap."""
@@ -182,48 +201,48 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         return F.expr(f"100 * cast({n1} as long) >= {percent} * cast({n2} as long) and 100 * cast({n2} as long) >= {percent} * cast({n1} as long) and 1 + least({n1} - 1 - {i1}, {n2} - 1 - {i2}) >= {need} - 1e-9 and (cast({n1} as long) + {n2} - bit_count({bits1} ^ {bits2})) / 2.0 >= {need} - 1e-9")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(u, v) of the later lines of ``pairs`` (a, b) that reach the threshold. Sets
-        are fetched for the lines of these pairs alone."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct().join(names, "u")
-        sets = stored(tokens.join(wanted.hint("shuffle_hash"), ["u", "v"]).select("u", "v", "o", "tokens"), "sets")
-        both = pairs.join(sets.toDF("a", "va", "oa", "x"), "a").join(sets.toDF("b", "vb", "ob", "y"), "b")
-        both = both.where("a <> b or va <> vb").withColumn("common", F.size(F.array_intersect("x", "y")))
+        """The later lines (u) of ``pairs`` (a, b; a is earlier) that reach the threshold.
+        Sets are fetched for the lines of these pairs alone."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct()
+        sets = stored(tokens.join(wanted.hint("shuffle_hash"), "u"), "sets")
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
         both = both.where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common")))
-        later = F.when(F.col("oa") < F.col("ob"), F.struct(F.col("b").alias("u"), F.col("vb").alias("v"))).otherwise(F.struct(F.col("a").alias("u"), F.col("va").alias("v")))
-        out = stored(both.select(later.alias("x")).select("x.*").distinct(), "gone")
+        out = stored(both.select(F.col("b").alias("u")).distinct(), "gone")
         discard(sets)
         return out
 
     # First each line against the earliest of each of its prefix tokens, which settles
     # a group of near copies in as many pairs as it has lines.
     def star_in(k: int) -> DataFrame:
-        some = part(members, k)
-        first = some.groupBy("t").agg(F.min(F.struct("o", "u", "n", "i", "bits")).alias("x")).select("t", F.col("x.u").alias("a"), F.col("x.n").alias("na"), F.col("x.i").alias("ia"), F.col("x.bits").alias("bits_a"))
-        return stored(some.join(first, "t").where("u <> a").where(can_reach("n", "i", "bits", "na", "ia", "bits_a")).select("a", F.col("u").alias("b")).distinct(), "star")
+        some = shared_parts[k]
+        first = some.where("u = low").groupBy("u").agg(F.first("n").alias("na"), F.first("bits").alias("bits_a")).withColumnRenamed("u", "low")
+        pairs = some.where("u <> low").groupBy("low", "u", "n", "bits").agg(F.min("i").alias("i"))
+        pairs = pairs.join(first.hint("shuffle_hash"), "low").where(can_reach("n", "i", "bits", "na", "0", "bits_a"))
+        return stored(pairs.select(F.col("low").alias("a"), F.col("u").alias("b")), "star")
 
     star_parts = [star_in(k) for k in range(parts)]
     star = stored(reduce(DataFrame.union, star_parts).distinct(), "star") if parts > 1 else star_parts[0]
     gone = verified(star)
     # Then what is left against all earlier lines that share a prefix token.
     def rest_in(k: int) -> DataFrame:
-        some = part(members, k)
-        left = some.join(gone, ["u", "v"], "left_anti").select("t", "o", F.col("u").alias("b"), "n", "i", "bits")
-        earlier = some.select("t", F.col("o").alias("oa"), F.col("u").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("bits").alias("bits_a"))
-        pairs = left.join(earlier, "t").where("oa < o and a <> b").where(can_reach("n", "i", "bits", "na", "ia", "bits_a")).select("a", "b").distinct()
+        later = shared_parts[k].where("u <> low").join(gone.hint("shuffle_hash"), "u", "left_anti").select("t", F.col("u").alias("b"), "n", "i", "bits")
+        earlier = shared_parts[k].select("t", F.col("u").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("bits").alias("bits_a"))
+        pairs = later.join(earlier, "t").where("a < b").where(can_reach("n", "i", "bits", "na", "ia", "bits_a")).select("a", "b").distinct()
         return stored(pairs.join(star, ["a", "b"], "left_anti"), "rest")
 
     rest_parts = [rest_in(k) for k in range(parts)]
     rest = stored(reduce(DataFrame.union, rest_parts).distinct(), "rest") if parts > 1 else rest_parts[0]
-    discard(members, *{x.stored_at: x for x in [star, *star_parts]}.values())
+    discard(*shared_parts, *{x.stored_at: x for x in [star, *star_parts]}.values())
     more = verified(rest)
-    discard(names, tokens, *{x.stored_at: x for x in [rest, *rest_parts]}.values())
+    discard(tokens, *{x.stored_at: x for x in [rest, *rest_parts]}.values())
 
     # Lines that stand once and are near no earlier one need not be looked up.
-    near = gone.union(more).distinct().withColumn("near", F.lit(True))
+    near = names.join(gone.union(more).distinct().toDF("r"), "r", "left_semi").select("u", "v", F.lit(True).alias("near"))
     judged = firsts.join(near.hint("shuffle_hash"), ["u", "v"], "left").where("near or times > 1").select("u", "v", F.when(F.col("near").isNull(), F.col("o")).alias("stays"))
     out = every.join(judged.hint("shuffle_hash"), ["u", "v"]).where("stays is null or stays <> struct(d, c, p)")
     marks = stored(out.groupBy("d", "c").agg(F.sort_array(F.collect_set("p")).alias("removed")), "marks")
-    discard(every, firsts, gone, more)
+    discard(every, firsts, names, gone, more)
     return marks
 
 
@@ -242,9 +261,9 @@ def dedup_lines(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     one is removed from all. Different texts of one doc_id, or without one, are
     documents of their own. Empty tables give empty ones.
 
-    Scale: three eighths of the tokens are dealt out once to set aside the lines that
-    have too many of their own; a token in very many different lines is one task's, which
-    only counts it. Of the lines left only prefixes (about a fifth of the tokens) are
+    Scale: about a quarter of the places of runs of three words are dealt out once, to set
+    aside the lines that have too many of their own; a run in very many different lines is
+    one task's, which only counts it. Of the lines left only prefixes (about a fifth of the tokens) are
     stored and counted, and only those that two lines share go further, part of the token
     space by part. 64 parity bits of a line's whole set bound the
     overlap of two lines, so lines that share a token by chance are no candidates, and
