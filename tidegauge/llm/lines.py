@@ -143,8 +143,9 @@ def _parity(tokens: str) -> Column:
 
 
 def _row_hash() -> Column:
-    """128 bits of a row's text."""
-    return F.unhex(F.md5(F.col("text").cast("string")))
+    """128 bits of a row's text; two hashes of 64 bits take a fraction of md5's time."""
+    text = F.col("text").cast("string")
+    return F.unhex(F.concat(*(F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(text), F.xxhash64(F.lit(7), text)))))
 
 
 def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
