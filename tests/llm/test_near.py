@@ -225,3 +225,22 @@ def test_line_dedup_runs_stand_for_tokens_of_their_own(spark):
         if k == 5:
             assert 0.4 * sum(map(len, sets)) > sum(len(x) for x in runs.values()) > 0
             assert any(n > 1 for x in runs.values() for n in x.values())
+
+
+def test_line_dedup_does_a_lines_work_once(spark, monkeypatch):
+    """The bits of a line are counted, and its tokens ordered, once and not for each row of
+    its prefix; the sets of two lines are intersected once."""
+    from tidegauge.llm import lines
+
+    plans, keep = {}, lines.stored
+
+    def stored(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(lines, "stored", stored)
+    rows = [(1, "a b c d e f g h i j k\nother"), (2, "a b c d e f g h i j k l\n \t\r\x0b\x0c\n\t x y")]
+    assert {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == brute_lines(rows)
+    ordered = plans["prefixes"]
+    assert ordered.index("Generate ") < ordered.index("aggregate(") and ordered.count("sort_array(") == 1
+    assert plans["gone"].count("array_intersect(") == 1

@@ -43,17 +43,18 @@ def _words() -> Column:
 
 
 def _shingle(at: Column, words: int) -> Column:
-    """The hash of the words from ``at`` on; those past the line's end don't count."""
-    return F.xxhash64(*(F.get("w", at + k) for k in range(words)))
+    """The hash of the words from ``at`` on, by their own hashes h; those past the line's
+    end don't count."""
+    return F.xxhash64(*(F.get("h", at + k) for k in range(words)))
 
 
 def _with_tokens(lines: DataFrame, words: int) -> DataFrame:
     """Column ``tokens`` from ``low``: distinct hashes of its shingles; of its whole
-    sequence if it is shorter. The words are a column of their own, else every shingle
-    would split the line anew."""
-    lines = lines.withColumn("w", _words())
-    last = F.greatest(F.size("w") - words, F.lit(0))
-    return lines.withColumn("tokens", F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: _shingle(i, words)))).drop("w", "low")
+    sequence if it is shorter. The words' hashes are a column of their own, else every
+    shingle would split the line anew."""
+    lines = lines.withColumn("w", _words()).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    last = F.greatest(F.size("h") - words, F.lit(0))
+    return lines.withColumn("tokens", F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: _shingle(i, words)))).drop("w", "h", "low")
 
 
 def _runs(lines: DataFrame, words: int) -> DataFrame:
@@ -153,7 +154,8 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     to remove, the sorted positions of those. See ``dedup_lines``."""
     docs = docs.select(F.col("doc_id").alias("d"), _row_hash().alias("c"), F.col("text").cast("string").alias("text"))
     raw = docs.select("d", "c", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    lines = raw.where(F.trim("line", F.lit(" \t\r\x0b\x0c")) != "").select("d", "c", "p", F.lower("line").alias("low"))
+    # Trimmed at the left alone, which ends at the first letter; trimming the right reads the whole line.
+    lines = raw.where(F.ltrim("line", F.lit(" \t\r\x0b\x0c")) != "").select("d", "c", "p", F.lower("line").alias("low"))
     u, v = F.xxhash64("low").alias("u"), F.xxhash64(F.lit(7), "low").alias("v")
 
     # All lines and where each stands first; these go to disk before the prefixes do, else
@@ -179,12 +181,15 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     ordered = tokens.select("u", _ordered(F.col("tokens"), _rarity(tokens)).alias("tokens"))
     n = F.size("tokens")
     prefix = F.slice("tokens", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1)
-    prefixes = stored(ordered.select("u", n.alias("n"), _parity("tokens").alias("bits"), F.posexplode(prefix).alias("i", "t")), "prefixes")
+    # Before the explode, else Spark would count the bits of a line anew for each row of its
+    # prefix. Its filter for empty arrays would sort anew; no prefix is empty.
+    ordered = ordered.select("u", n.alias("n"), _parity("tokens").alias("bits"), prefix.alias("prefix"))
+    prefixes = stored(ordered.select("u", "n", "bits", F.posexplode_outer("prefix").alias("i", "t")), "prefixes")
     parts = min(PARTS, 1 + prefixes.count() // PART_ROWS)
 
     def part(df: DataFrame, k: int) -> DataFrame:
         """Rows of the k-th part of the tokens, by bits that ``marked`` doesn't use."""
-        return df if parts == 1 else df.where(F.pmod(F.shiftright("t", 40), F.lit(parts)) == k)
+        return df if parts == 1 else df.where(F.pmod(F.shiftright("t", 32), F.lit(parts)) == k)
 
     def shared_in(k: int) -> DataFrame:
         some = part(prefixes, k)
@@ -207,8 +212,8 @@ def line_marks(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct()
         sets = stored(tokens.join(wanted.hint("shuffle_hash"), "u"), "sets")
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
-        both = both.where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common")))
+        # The threshold on the union, written so that the intersection is made once.
+        both = both.where((100 + percent) * F.size(F.array_intersect("x", "y")) >= percent * (F.size("x") + F.size("y")))
         out = stored(both.select(F.col("b").alias("u")).distinct(), "gone")
         discard(sets)
         return out
